@@ -16,9 +16,9 @@ can be seen and stay.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import Column
@@ -38,6 +38,8 @@ BLANK_LETTERS = "\u3164\uffa0\u2800"
 LINE_ENDS = "\u000b\u000c\u0085\u2028\u2029"
 #: Joiners, fillers, direction marks and selectors inside other categories.
 UNSEEN = [(0x34F, 0x34F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0xFE00, 0xFE0F), (0xE0100, 0xE01EF)]
+#: Where code points that change lie: all but the large blocks of ideographs and syllables and the planes of rare scripts.
+CHANGEABLE = [(0, 0x3400), (0xA000, 0xAC00), (0xE000, 0x10000), (0x1BCA0, 0x1BCB0), (0x1D160, 0x1D180), (0xE0000, 0xE0200)]
 
 
 def is_unseen(code: int) -> bool:
@@ -49,9 +51,7 @@ def is_unseen(code: int) -> bool:
 def glyphs() -> dict[int, str]:
     """Code point to what stands for it, for all that changes."""
     out: dict[int, str] = {}
-    for code in range(sys.maxunicode + 1):
-        if 0xD800 <= code < 0xE000 or 0x30000 <= code < 0xE0000 or code >= 0xE0200:
-            continue
+    for code in chain(*(range(a, b) for a, b in CHANGEABLE)):
         char = chr(code)
         parts = unicodedata.decomposition(char).split()
         if is_unseen(code):
