@@ -5,24 +5,25 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rulemill.llm.codepoints import letters_array, look_array
 from rulemill.session import spread
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def uniform_text(column: pa.Array) -> pa.Array:
     """The one written form of each text; null stays null, an empty text stays empty."""
     return look_array(column).cast(pa.string())
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def letters_of(column: pa.Array) -> pa.Array:
     """Letters and digits of the written form in lower case; null stays null."""
     return letters_array(column).cast(pa.string())
 
 
-@F.arrow_udf("array<string>")
+@F.arrow_udf(T.ArrayType(T.StringType()))
 def uniform_items(column: pa.Array) -> pa.Array:
     """The written form of every item of a string array; null arrays and null items stay null."""
     forms = look_array(column.values).cast(pa.string())
