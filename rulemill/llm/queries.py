@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from rulemill.functions.looks import look_sql
+from rulemill.llm.history import draft_cases
 from rulemill.llm.near_duplicates import near_duplicate_groups
 from rulemill.llm.uniform import spelling_cases
 from rulemill.session import table
@@ -18,7 +19,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "rule_units"), "unit_no", "text", 0.7)
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return draft_cases(table(spark, sf_dir, "rule_units"), table(spark, sf_dir, "draft_units"), 0.7)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
 ORACLES = {
     "p1_found": f"""
         WITH t AS (SELECT unit_no, text, {look_sql("text")} AS f FROM rule_units WHERE text IS NOT NULL),
