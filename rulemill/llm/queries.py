@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rulemill.functions.looks import look_sql
 from rulemill.llm.history import draft_cases
+from rulemill.llm.leakage import leaked_items
 from rulemill.llm.near_duplicates import near_duplicate_groups
+from rulemill.llm.packing import packed_documents
 from rulemill.llm.uniform import spelling_cases
 from rulemill.session import table
 
@@ -23,7 +25,15 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draft_cases(table(spark, sf_dir, "rule_units"), table(spark, sf_dir, "draft_units"), 0.7)
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found}
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_packed": p6_packed, "p7_found": p7_found}
 ORACLES = {
     "p1_found": f"""
         WITH t AS (SELECT unit_no, text, {look_sql("text")} AS f FROM rule_units WHERE text IS NOT NULL),
@@ -32,4 +42,11 @@ ORACLES = {
         SELECT 'text' AS field_name, a.unit_no AS key_a, b.unit_no AS key_b FROM t a JOIN t b ON a.f = b.f AND a.unit_no < b.unit_no AND a.text <> b.text
         UNION ALL SELECT DISTINCT 'scope', unit_no, item_no FROM s JOIN v USING (f) WHERE i <> item
     """,
+    "p7_found": f"""
+        WITH d AS (SELECT doc_id, regexp_replace(lower({look_sql("text")}), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS l FROM documents),
+        i AS (SELECT item_id, regexp_replace(lower({look_sql("text")}), '[^\\p{{L}}\\p{{N}}]', '', 'g') AS l FROM eval_items),
+        dw AS (SELECT doc_id, hash(l[k:k + 59]) AS w FROM (SELECT doc_id, l, unnest(range(1, length(l) - 58)) AS k FROM d)),
+        iw AS (SELECT DISTINCT item_id, hash(l[k:k + 59]) AS w FROM (SELECT item_id, l, unnest(range(1, length(l) - 58)) AS k FROM i))
+        SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (w)
+    """,
 }
