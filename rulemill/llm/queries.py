@@ -9,6 +9,7 @@ from rulemill.llm.history import draft_cases
 from rulemill.llm.leakage import leaked_items
 from rulemill.llm.near_duplicates import near_duplicate_groups
 from rulemill.llm.packing import packed_documents
+from rulemill.llm.personal import find_places, redact
 from rulemill.llm.uniform import spelling_cases
 from rulemill.session import table
 
@@ -33,7 +34,15 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_packed": p6_packed, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_places(table(spark, sf_dir, "documents")).select("doc_id", "pii_kind", "start_pos").distinct()
+
+
+def p8_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(table(spark, sf_dir, "documents"), b"test key")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found, "p8_redacted": p8_redacted}
 ORACLES = {
     "p1_found": f"""
         WITH t AS (SELECT unit_no, text, {look_sql("text")} AS f FROM rule_units WHERE text IS NOT NULL),
