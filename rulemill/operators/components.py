@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulemill.session import cut
+from rulemill.session import cut, discard
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
     pairs = cut(pairs.union(pairs.select("v", "u")).distinct())
-    state = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("f")))
+    state = old = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("f")))
     while True:
         parents = state.select(F.col("u").alias("p"), F.col("f").alias("g"))
         grand = state.join(parents, state.f == parents.p).select("u", "f", "g")
@@ -27,6 +27,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         step = grand.join(near, "u").select("u", "f", F.least("g", "m").alias("n"))
         offers = step.select("u", "n", "f").union(step.select(F.col("f").alias("u"), "n", F.lit(None).cast("long").alias("f")))
         new = cut(offers.groupBy("u").agg(F.min("n").alias("n"), F.max("f").alias("old")).select("u", F.least("n", "old").alias("f"), (F.col("n") < F.col("old")).alias("moved")))
-        state = new.select("u", "f")
+        discard(old)
+        state, old = new.select("u", "f"), new
         if not new.where("moved").head(1):
+            discard(pairs)
             return state.select(F.col("u").alias("node"), F.col("f").alias("component"))
