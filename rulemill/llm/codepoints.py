@@ -37,9 +37,8 @@ class Tables(NamedTuple):
 
 
 class Letters(NamedTuple):
-    first: np.ndarray
-    size: np.ndarray
-    parts: np.ndarray
+    low: np.ndarray  # code point -> its lower case
+    kept: np.ndarray  # code point -> is a letter, a digit or a row end
 
 
 def _expansions(changed: dict[int, str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,18 +80,26 @@ def tables() -> Tables:
 
 @lru_cache(1)
 def letter_tables() -> Letters:
-    """Lower case of letters and digits (Unicode L and N); all else expands to nothing."""
-    changed: dict[int, str] = {}
-    gone = np.ones(MAX, bool)
+    """Lower case of letters and digits (Unicode L and N); all else goes. No lower case has more than one letter or digit."""
+    low, kept = np.arange(MAX, dtype=np.int32), np.zeros(MAX, bool)
+    kept[0] = True
     for code in range(0x32400):  # beyond lie private use and selectors
         char = chr(code)
         if unicodedata.category(char)[0] in "LN":
-            gone[code] = False
-            if (low := char.lower()) != char:
-                changed[code] = "".join(c for c in low if unicodedata.category(c)[0] in "LN")
-    first, size, parts = _expansions(changed)
-    size[gone] = 0
-    return Letters(first, size, parts)
+            kept[code] = True
+            (low[code],) = (ord(c) for c in char.lower() if unicodedata.category(c)[0] in "LN")
+    return Letters(low, kept)
+
+
+@lru_cache(1)
+def odd_table() -> np.ndarray:
+    """Code point -> a text with it may not be in written form yet."""
+    t = tables()
+    odd = (t.size != 1) | (t.parts[:MAX] != t.parts[t.first]) | (t.order > 0) | t.second
+    odd[0x1100:0x1200] = True
+    odd[CR] = True
+    odd[0] = False
+    return odd
 
 
 def decode(column: pa.Array) -> np.ndarray:
@@ -234,7 +241,27 @@ def _neighbours(t: Tables, codes: np.ndarray) -> np.ndarray:
 
 
 def form(codes: np.ndarray) -> np.ndarray:
-    """The one written form, as code points."""
+    """The one written form, as code points. Rows without an odd character are in it and pass by."""
+    odd = odd_table()[codes]
+    if not odd.any():
+        return codes
+    ends = np.flatnonzero(codes == 0)
+    row_odd = np.logical_or.reduceat(odd, np.concatenate([[0], ends[:-1] + 1]))
+    if row_odd.all():
+        return _form(codes)
+    sizes = np.diff(ends, prepend=-1)
+    mine = np.repeat(row_odd, sizes)
+    done = _form(codes[mine])
+    new = sizes.copy()
+    new[row_odd] = np.diff(np.flatnonzero(done == 0), prepend=-1)
+    place = np.repeat(row_odd, new)
+    out = np.empty(len(place), np.int32)
+    out[place] = done
+    out[~place] = codes[~mine]
+    return out
+
+
+def _form(codes: np.ndarray) -> np.ndarray:
     cr = codes == CR
     if cr.any():
         follows = np.concatenate([codes[1:] == LF, [False]])
@@ -245,7 +272,8 @@ def form(codes: np.ndarray) -> np.ndarray:
 
 def letters(codes: np.ndarray) -> np.ndarray:
     """Of a written form the letters and digits in lower case."""
-    return expand(codes, *letter_tables())
+    t = letter_tables()
+    return t.low[codes[t.kept[codes]]]
 
 
 def valid_rows(column: pa.Array) -> np.ndarray:

@@ -36,7 +36,7 @@ from rulemill.llm.codepoints import decode
 from rulemill.llm.near_duplicates import distinct_letters
 from rulemill.llm.shingles import SKETCH, WIDTH, distinct_runs, may_be_similar, profile_arrays, small_batches, verified
 from rulemill.llm.uniform import uniform_text
-from rulemill.session import cut, spread
+from rulemill.session import cut, discard, spread
 
 #: Counters of the rarity order. Their number is fixed, so the order table has one size at any scale.
 RARITY_BUCKETS = 1 << 20
@@ -45,7 +45,7 @@ MEETINGS = 50_000
 
 
 def bucket_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(20)).astype(np.int64) % RARITY_BUCKETS
+    return (hashes >> np.uint64(8)).astype(np.int64) % RARITY_BUCKETS
 
 
 def rarity_order(texts: DataFrame) -> np.ndarray:
@@ -146,12 +146,14 @@ def id_key(rule_id: Column, version: Column) -> Column:
 
 def accept_all(units: DataFrame, threshold: float) -> History:
     """A history of ``units`` (unit_no, rule_id, version, text), all accepted. Of equal texts or ids the smallest unit_no stands."""
-    base = cut(distinct_letters(units, "unit_no", "text"))
+    base = distinct_letters(units, "unit_no", "text")
     reps = cut(base.groupBy("letters").agg(F.min("id").alias("rep")).select("rep", "letters"))
     order = rarity_order(spread(reps))
     keys = units.where(F.col("unit_no").isNotNull()).select(id_key(F.col("rule_id"), F.col("version")).alias("id_key"), F.col("unit_no").alias("kept_no"))
     ids = cut(keys.where(F.col("id_key").isNotNull()).groupBy("id_key").agg(F.min("kept_no").alias("kept_no")))
-    return History(cut(pivot_table(spread(reps), order, threshold)), ids, order, threshold)
+    texts = cut(pivot_table(spread(reps), order, threshold))
+    discard(reps)
+    return History(texts, ids, order, threshold)
 
 
 def hold_batches(history: History, drafts: DataFrame) -> tuple[DataFrame, History]:

@@ -45,14 +45,18 @@ def run_hashes(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, n
     return mix(acc), rows, places
 
 
+#: Bits of a row number within a batch of at most 2,048 rows, and of a shingle's hash beside it.
+ROW_BITS, HASH_BITS = 11, 53
+
+
 def distinct_runs(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (hash, row), sorted by row and hash."""
+    """Distinct (53-bit hash, row) of the runs of ``width`` characters, sorted by row and hash: one sort of one number each."""
     hashes, rows, _ = run_hashes(codes, width)
-    by = np.lexsort((hashes, rows))
-    hashes, rows = hashes[by], rows[by]
-    new = np.ones(len(hashes), bool)
-    new[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-    return hashes[new], rows[new]
+    key = rows.astype(np.uint64) << np.uint64(HASH_BITS) | hashes >> np.uint64(ROW_BITS)
+    key.sort()
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return key & np.uint64((1 << HASH_BITS) - 1), (key >> np.uint64(HASH_BITS)).astype(np.int64)
 
 
 def parity_sketch(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
@@ -62,7 +66,7 @@ def parity_sketch(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     differ in at least |count_b(x) - count_b(y)| shingles of bucket b, thus in
     at least as many shingles as there are bits that differ.
     """
-    bucket = (hashes >> np.uint64(40)).astype(np.int64) % BITS
+    bucket = (hashes >> np.uint64(20)).astype(np.int64) % BITS
     odd = (np.bincount(rows * BITS + bucket, minlength=n * BITS) & 1).astype(np.uint8)
     return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, WORDS)
 
