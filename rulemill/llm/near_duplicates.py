@@ -1,14 +1,17 @@
 """Groups of records that are largely the same (problem 3): a multi-index Hamming join.
 
-Each distinct text gets a b-bit signature: CHUNKS x SYMBOLS minwise hashes of
-its shingles, ``BITS_EACH`` bits of each. If two signatures differ in no more
-than ERRORS x CHUNKS + CHUNKS - 1 symbols then, by the pigeonhole principle, at
-least one chunk differs in no more than ERRORS symbols. All ways to allow for
-ERRORS errors in a chunk are enumerated as keys (the chunk with those symbols
-blanked), so every pair within that signature distance shares a key. Beyond it
-keys are still shared by chance: with the defaults (22 chunks of 7, one error)
-a pair at similarity exactly 0.7 is missed once in some 6,000 times, at 0.75
-once in 400,000.
+Each text gets a b-bit signature: CHUNKS x SYMBOLS minwise hashes of its
+shingles (one permutation, cut into bins; an empty bin takes over from the next
+full one), BITS_EACH bits of each. If two signatures differ in no more than
+(ERRORS + 1) x CHUNKS - 1 symbols then, by the pigeonhole principle, at least
+one chunk differs in no more than ERRORS symbols. All ways to allow for ERRORS
+errors in a chunk are enumerated as keys (the chunk with those symbols
+blanked), so every pair within that signature distance - 19 of 50 symbols with
+the defaults - shares a key. Beyond it keys are still shared by chance: a pair
+at similarity exactly 0.7 is missed once in some 1,800 times, at 0.75 once in
+23,000, at 0.8 less than once in 600,000.
+
+Chunks are joined a few at a time, so that only their keys are shuffled at once.
 
 What shares a key is verified on the texts themselves. Within a bucket not all
 pairs are formed: its members are compared with a centre, what is linked
@@ -27,60 +30,87 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulemill.llm.codepoints import decode, row_bounds
-from rulemill.llm.shingles import LEAST, WIDTH, distinct_runs, mix, small_batches, verified, with_profiles
+from rulemill.llm.codepoints import decode, form, letters, row_bounds
+from rulemill.llm.shingles import LEAST, SKETCH, WIDTH, distinct_runs, may_be_similar, mix, parity_sketch, similar, small_batches
 from rulemill.llm.uniform import letters_of
 from rulemill.operators.components import connected_components
-from rulemill.session import cut, spread
+from rulemill.session import cut, discard, spread
 
-CHUNKS, SYMBOLS, ERRORS, BITS_EACH = 22, 7, 1, 8
+CHUNKS, SYMBOLS, ERRORS, BITS_EACH = 10, 5, 1, 8
+#: Chunks joined at once.
+AT_ONCE = 4
 #: Pairs left in open buckets, for each of their members, that are compared one by one.
 FEW = 16
 ROUNDS = 8
 
 
 def signatures(hashes: np.ndarray, rows: np.ndarray, n: int, count: int) -> np.ndarray:
-    """(n, count) uint64, each below 2^BITS_EACH. Every row has a shingle at least."""
-    odd = mix(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    bounds = np.searchsorted(rows, np.arange(n))
-    out = np.empty((n, count), np.uint64)
-    step = 128  # rows at a time, so that their hashes stay in the cache
-    for at in range(0, n, step):
-        begin, end = bounds[at], bounds[at + step] if at + step < n else len(hashes)
-        part, cuts = hashes[begin:end], bounds[at : at + step] - begin
-        for i in range(count):
-            out[at : at + step, i] = np.minimum.reduceat(part * odd[i], cuts)
-    return mix(out) & np.uint64((1 << BITS_EACH) - 1)
-
-
-def error_keys(symbols: np.ndarray, chunks: int, size: int, errors: int) -> np.ndarray:
-    """(n, chunks * C(size, errors)) uint64: of each chunk one key for each choice of symbols that may be wrong."""
-    n = len(symbols)
-    parts = symbols.reshape(n, chunks, size)
-    places = np.uint64(1) << (np.arange(size, dtype=np.uint64) * np.uint64(BITS_EACH))
-    whole = (parts * places).sum(axis=2, dtype=np.uint64)
+    """(n, count) uint8 from distinct 53-bit hashes sorted by row and hash: bins are ranges of the hash, so the first of a bin is its least."""
+    bins = rows * count + ((hashes * np.uint64(count)) >> np.uint64(53)).astype(np.int64)
+    first = np.concatenate([[True], bins[1:] != bins[:-1]]) if len(bins) else np.empty(0, bool)
+    symbols, full = np.zeros(n * count, np.uint64), np.zeros(n * count, bool)
+    symbols[bins[first]], full[bins[first]] = mix(hashes[first]), True
+    symbols, full = symbols.reshape(n, count), full.reshape(n, count)
+    step = 0
+    while not full.all() and step < count:
+        step += 1
+        take = ~full & np.roll(full, -1, axis=1)
+        # Each bin passed on the way changes the symbol, so that copies in a row stay independent of their place.
+        symbols[take] = mix(np.roll(symbols, -1, axis=1)[take] + np.uint64(0x9E3779B97F4A7C15))
+        full = full | take
+    return (symbols & np.uint64((1 << BITS_EACH) - 1)).astype(np.uint8)
+
+
+def error_keys(symbols: np.ndarray, chunks: range, size: int, errors: int) -> np.ndarray:
+    """(n, len(chunks) * C(size, errors)) uint64: of each chunk one key for each choice of symbols that may be wrong."""
     keys = []
-    for k, gone in enumerate(combinations(range(size), errors)):
-        blank = whole.copy()
-        for g in gone:
-            blank -= parts[:, :, g] * places[g]
-        keys.append(mix(blank ^ mix(np.arange(chunks, dtype=np.uint64) * np.uint64(1009) + np.uint64(k + 1))[None, :]))
-    return np.concatenate(keys, axis=1)
+    for c in chunks:
+        part = symbols[:, c * size : (c + 1) * size].astype(np.uint64)
+        for k, gone in enumerate(combinations(range(size), errors)):
+            packed = np.full(len(part), c * 1009 + k + 1, np.uint64)
+            for i in set(range(size)) - set(gone):
+                packed = packed << np.uint64(BITS_EACH) | part[:, i]
+            keys.append(mix(packed ^ np.uint64((c * 1009 + k + 1) << 44)))
+    return np.stack(keys, axis=1)
 
 
-def bucket_keys(texts: DataFrame, chunks: int = CHUNKS, size: int = SYMBOLS, errors: int = ERRORS) -> DataFrame:
-    """(key, rep) for (rep, letters); letters must have WIDTH characters at least."""
+def with_signatures(rows: DataFrame, row_id: str, text: str, least: int = LEAST, count: int = CHUNKS * SYMBOLS) -> DataFrame:
+    """(id, d0, d1, n, sketch, sig) of texts with enough letters; d0 and d1 are a 128-bit digest of the letters."""
+    kept = spread(rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")))
 
     def run(batches):
         for b in small_batches(batches):
-            codes = decode(b.column(1))
-            assert not len(codes) or row_bounds(codes)[1].min() >= WIDTH
-            hashes, rows = distinct_runs(codes, WIDTH)
-            keys = error_keys(signatures(hashes, rows, len(b), chunks * size), chunks, size, errors).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(b) + 1, dtype=np.int32) * keys.shape[1]), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["rep", "keys"])
+            codes = letters(form(decode(b.column(1))))
+            starts, sizes = row_bounds(codes)
+            long = sizes >= least
+            codes = codes[np.repeat(long, sizes + 1)]
+            ids, n = b.column(0).to_numpy(zero_copy_only=False)[long], int(long.sum())
+            starts, sizes = row_bounds(codes)
+            digests = []
+            for salt in (1, 2):  # sums over the letters of a mix of letter and place
+                place = np.arange(len(codes)) - np.repeat(starts, sizes + 1)
+                mixed = mix(mix(codes.astype(np.uint64) + np.uint64(salt << 40)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                digests.append(np.add.reduceat(mixed, starts).view(np.int64) if n else np.empty(0, np.int64))
+            hashes, own = distinct_runs(codes, WIDTH)
+            sketch = parity_sketch(hashes, own, n)
+            sig = signatures(hashes, own, n, count)
+            counts = np.bincount(own, minlength=n).astype(np.int32)
+            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(count), n, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, digests), pa.array(counts), *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))], data], ["id", "d0", "d1", "n", *SKETCH, "sig"])
+
+    return kept.mapInArrow(run, f"id long, d0 long, d1 long, n int, {', '.join(f'{c} long' for c in SKETCH)}, sig binary")
+
+
+def bucket_keys(reps: DataFrame, chunks: range, size: int = SYMBOLS, errors: int = ERRORS) -> DataFrame:
+    """(key, rep) of the given chunks."""
 
-    return texts.select("rep", "letters").mapInArrow(run, "rep long, keys array<long>").select(F.explode("keys").alias("key"), "rep")
+    def run(batches):
+        for b in small_batches(batches):
+            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1)
+            keys = error_keys(sig, chunks, size, errors).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]))], ["key", "rep"])
+
+    return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
 
 
 def distinct_letters(rows: DataFrame, row_id: str, text: str, least: int = LEAST) -> DataFrame:
@@ -89,29 +119,47 @@ def distinct_letters(rows: DataFrame, row_id: str, text: str, least: int = LEAST
     return spread(kept.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))).select("id", letters_of(F.col("text")).alias("letters")).where(F.length("letters") >= least)
 
 
-def similar_edges(profiles: DataFrame, threshold: float, few: int = FEW, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links (a, b) among (rep, letters, n, sketch) that join all that is similar, if not each pair by a link of its own."""
-    keys = bucket_keys(profiles)
-    sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1")
-    buckets = cut(keys.join(sizes.select("key", "first"), "key").select("key", "rep", "first"))
+def verified_pairs(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Of distinct (a, b) those truly similar. Pairs meet the sketches first; texts (id, text) are read again only for what is left."""
+    small = ["rep", "n", *SKETCH]
+    met = pairs.alias("p").join(reps.select(*small).alias("x"), F.expr("p.a = x.rep")).join(reps.select(*small).alias("y"), F.expr("p.b = y.rep"))
+    near = cut(met.where(may_be_similar("x", "y", threshold)).select("a", "b"))
+    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+    wanted = cut(spread(texts.join(ids, "id", "left_semi")).select("id", letters_of(F.col("text")).alias("letters")))
+    full = near.join(wanted.select(F.col("id").alias("a"), F.col("letters").alias("la")), "a").join(wanted.select(F.col("id").alias("b"), F.col("letters").alias("lb")), "b")
+    out = cut(full.where(similar(threshold)(F.col("la"), F.col("lb"))).select("a", "b"))
+    discard(near, wanted)
+    return out
+
+
+def similar_edges(reps: DataFrame, texts: DataFrame, threshold: float, few: int = FEW, rounds: int = ROUNDS) -> DataFrame:
+    """Verified links (a, b) among reps that join all that is similar, if not each pair by a link of its own."""
+    buckets = None
+    for c in range(0, CHUNKS, AT_ONCE):
+        keys = bucket_keys(reps, range(c, min(c + AT_ONCE, CHUNKS)))
+        sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1")
+        part = cut(keys.join(sizes.select("key", "first"), "key").select("key", "rep", "first"))
+        buckets = part if buckets is None else buckets.union(part)
     star = buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = cut(verified(star, profiles, profiles, threshold))
+    edges = verified_pairs(star, reps, texts, threshold)
     rest = buckets.select("key", "rep")
     for k in range(rounds + 1):
         parts = connected_components(edges)
         named = rest.join(parts, rest.rep == parts.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
         open_ = named.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
+        # Pairs compared in a star need not meet again: of two parts both without a link only third ones are new.
         rest = cut(named.join(open_, "key"))
         left = rest.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        members, pairs = left.agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
+        members, pairs = left.where("m > 2").agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
         if not members:
             return edges
         if pairs <= few * members or k == rounds:
-            met = rest.alias("x").join(rest.alias("y"), F.expr("x.key = y.key AND x.part < y.part")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-            return edges.union(cut(verified(met.distinct(), profiles, profiles, threshold)))
+            wide = rest.join(left.where("m > 2").select("key"), "key", "left_semi")
+            met = wide.alias("x").join(wide.alias("y"), F.expr("x.key = y.key AND x.part < y.part")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+            return edges.union(verified_pairs(met.distinct(), reps, texts, threshold))
         centre = rest.groupBy("key").agg(F.min_by(F.struct("rep", "part"), F.xxhash64("rep", F.lit(k))).alias("c"))
         met = rest.join(centre, "key").where("part <> c.part").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
-        edges = cut(edges.union(verified(met.distinct(), profiles, profiles, threshold)))
+        edges = edges.union(verified_pairs(met.distinct(), reps, texts, threshold))
         rest = rest.select("key", "rep")
 
 
@@ -121,11 +169,14 @@ def near_duplicate_groups(rows: DataFrame, row_id: str, text: str, threshold: fl
     group_no is the smallest id of the group. Rows with the same letters are
     collapsed first and come back as members. Texts with fewer than LEAST
     letters, null texts and null ids are in no group; an empty table has none.
+    Only ids, digests and signatures are shuffled; texts are read again for
+    candidates.
     """
-    base = cut(distinct_letters(rows, row_id, text))
-    reps = base.groupBy("letters").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
-    reps = cut(reps)
-    profiles = cut(with_profiles(spread(reps)))
-    parts = connected_components(similar_edges(profiles, threshold))
-    grouped = reps.join(parts, reps.rep == parts.node, "left").where("component IS NOT NULL OR copies > 1").select("letters", F.coalesce("component", "rep").alias("group_no"))
-    return base.join(grouped, "letters").select("group_no", F.col("id").alias("unit_no")).distinct()
+    base = cut(with_signatures(rows, row_id, text))
+    profile = F.struct("id", "n", *SKETCH, "sig")
+    reps = base.groupBy("d0", "d1").agg(F.min_by(profile, "id").alias("p"), F.count("*").alias("copies"))
+    reps = cut(reps.select(F.col("p.id").alias("rep"), "d0", "d1", "copies", "p.n", *[f"p.{c}" for c in SKETCH], "p.sig"))
+    texts = rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
+    parts = connected_components(similar_edges(reps, texts, threshold))
+    grouped = reps.join(parts, reps.rep == parts.node, "left").where("component IS NOT NULL OR copies > 1").select("d0", "d1", F.coalesce("component", "rep").alias("group_no"))
+    return base.join(grouped, ["d0", "d1"]).select("group_no", F.col("id").alias("unit_no")).distinct()
