@@ -6,10 +6,10 @@ full one), BITS_EACH bits of each. If two signatures differ in no more than
 (ERRORS + 1) x CHUNKS - 1 symbols then, by the pigeonhole principle, at least
 one chunk differs in no more than ERRORS symbols. All ways to allow for ERRORS
 errors in a chunk are enumerated as keys (the chunk with those symbols
-blanked), so every pair within that signature distance - 19 of 50 symbols with
+blanked), so every pair within that signature distance - 23 of 72 symbols with
 the defaults - shares a key. Beyond it keys are still shared by chance: a pair
-at similarity exactly 0.7 is missed once in some 1,800 times, at 0.75 once in
-23,000, at 0.8 less than once in 600,000.
+at similarity exactly 0.7 is missed once in some 700 times, at 0.75 once in
+9,000, at 0.8 once in 350,000.
 
 Chunks are joined a few at a time, so that only their keys are shuffled at once.
 
@@ -36,9 +36,9 @@ from rulemill.llm.uniform import letters_of
 from rulemill.operators.components import connected_components
 from rulemill.session import cut, discard, spread
 
-CHUNKS, SYMBOLS, ERRORS, BITS_EACH = 10, 5, 1, 8
+CHUNKS, SYMBOLS, ERRORS, BITS_EACH = 12, 6, 1, 8
 #: Chunks joined at once.
-AT_ONCE = 4
+AT_ONCE = 2
 #: Pairs left in open buckets, for each of their members, that are compared one by one.
 FEW = 16
 ROUNDS = 8
@@ -176,7 +176,9 @@ def near_duplicate_groups(rows: DataFrame, row_id: str, text: str, threshold: fl
     profile = F.struct("id", "n", *SKETCH, "sig")
     reps = base.groupBy("d0", "d1").agg(F.min_by(profile, "id").alias("p"), F.count("*").alias("copies"))
     reps = cut(reps.select(F.col("p.id").alias("rep"), "d0", "d1", "copies", "p.n", *[f"p.{c}" for c in SKETCH], "p.sig"))
+    members = cut(base.select("id", "d0", "d1"))
+    discard(base)
     texts = rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
     parts = connected_components(similar_edges(reps, texts, threshold))
     grouped = reps.join(parts, reps.rep == parts.node, "left").where("component IS NOT NULL OR copies > 1").select("d0", "d1", F.coalesce("component", "rep").alias("group_no"))
-    return base.join(grouped, ["d0", "d1"]).select("group_no", F.col("id").alias("unit_no")).distinct()
+    return members.join(grouped, ["d0", "d1"]).select("group_no", F.col("id").alias("unit_no")).distinct()
