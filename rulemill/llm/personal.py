@@ -68,7 +68,6 @@ PHONE = re.compile(
     r"|\+(?!82|1[^\d]|44)\d{1,3}[- .]\d{1,4}(?:[- .]\d{2,4}){2,4}"
     rf"|[{SPOKEN}]{{2,3}}[-. ][{SPOKEN}]{{3,4}}[-. ][{SPOKEN}]{{4}})"
 )
-MAY_BE_PHONE = re.compile(rf"\d(?:\D{{0,3}}\d){{8}}|[{SPOKEN}]{{3,4}}[-. ][{SPOKEN}]{{4}}")
 DATE6 = r"\d\d(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])"
 ID = re.compile(
     rf"(?=[A-Z0-9])(?:{DATE6}(?: ?[-–] ?| )?[1-8]\d{{6}}"
@@ -200,7 +199,7 @@ def name_patterns(lex: Lexicon) -> list[re.Pattern]:
 def spans(folded: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all places, without overlap, in order."""
     found = [(*m.span(), "email") for m in EMAIL.finditer(folded)] if MAY_BE_EMAIL.search(folded) else []
-    for pattern, kind in ((ID, "id_number"), (PHONE, "phone")) if MAY_BE_PHONE.search(folded) else ():
+    for pattern, kind in (ID, "id_number"), (PHONE, "phone"):
         for m in pattern.finditer(folded):
             before, after = folded[max(0, m.start() - 2) : m.start()], folded[m.end() : m.end() + 2]
             if not NUMBER_BEFORE.search(before) and not NUMBER_AFTER.match(after):
