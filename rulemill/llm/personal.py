@@ -48,13 +48,16 @@ SPOKEN = "공영일이삼사오육륙칠팔구"
 
 # Signs of an address and of its dots, plain or spelled out.
 AT, DOT = r"(?:at|AT|At|골뱅이|앳)", r"(?:dot|DOT|Dot|점|닷)"
-MAY_BE_EMAIL = re.compile(rf"@|골뱅이|앳|[(\[{{] ?at|{DOT}", re.I)
+#: Implied by every form of EMAIL: what follows a bare ' at ' has a plain dot or a word for one.
+MAY_BE_EMAIL = re.compile(rf"@|골뱅이|앳|[(\[{{] ?at|{DOT}| at [a-z0-9-]+\.[a-z0-9]", re.I)
 EMAIL = re.compile(
     r"(?<![\w.%+*@-])(?<![@*] )[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_])?"
     rf"(?: ?@ ?| ?[(\[{{] ?{AT} ?[)\]}}] ?| (?:AT|at|골뱅이|앳) )"
     r"[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?"
     rf"(?:(?: ?[(\[{{] ?{DOT} ?[)\]}}] ?| {DOT} |\.)[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"
 )
+#: What ends in a number behind a bare 'at' ('set at 12.50') is no host.
+NO_HOST = re.compile(r" (?:AT|at) (?:\S+\.)?\d[\w-]*$")
 PHONE = re.compile(
     rf"(?=[+(0-9{SPOKEN}])(?:"
     r"\+82[- .]?(?:\(0\)[- .]?|0)?\d{1,2}[- .)]{0,2}\d{3,4}[- .]?\d{4}"
@@ -198,7 +201,7 @@ def name_patterns(lex: Lexicon) -> list[re.Pattern]:
 
 def spans(folded: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     """(start, end, kind) of all places, without overlap, in order."""
-    found = [(*m.span(), "email") for m in EMAIL.finditer(folded)] if MAY_BE_EMAIL.search(folded) else []
+    found = [(*m.span(), "email") for m in EMAIL.finditer(folded) if not NO_HOST.search(m[0])] if MAY_BE_EMAIL.search(folded) else []
     for pattern, kind in (ID, "id_number"), (PHONE, "phone"):
         for m in pattern.finditer(folded):
             before, after = folded[max(0, m.start() - 2) : m.start()], folded[m.end() : m.end() + 2]

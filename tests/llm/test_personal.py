@@ -14,3 +14,12 @@ def test_each_identity_number_is_found_alone(number):
 
 def test_short_foreign_phone_is_found_alone():
     assert found("Call +47 22 85 50.") == {("phone", "+47 22 85 50")}
+
+
+@pytest.mark.parametrize("address", ["desk AT office.hdma.test", "joren+fc at example.com", "a@b.kr", "a (At) b.kr", "a{at}b [dot] kr", "a 골뱅이 b 점 kr", "a앳b.kr".replace("앳", " 앳 "), "a at b-c dot kr"])
+def test_each_form_of_mail_address_is_found_alone(address):
+    assert found(f"Reply to: {address}") == {("email", address)}
+
+
+def test_numbers_behind_at_are_no_hosts():
+    assert not found("A fee set at 12.50 or at 3.5x. It is held at noon. See you at work.")
