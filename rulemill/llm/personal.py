@@ -91,10 +91,14 @@ EN_ADDRESS = re.compile(
     rf"(?:(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, ?)?(?<![\w$.,-])\d{{1,5}} (?:{CAPITAL}[\w'’-]+ ){{1,3}}(?:{'|'.join(STREETS)})\b\.?(?:, ?(?:{CAPITAL}[a-z]+ ?){{1,2}}(?: ?\d{{5}})?)?"
     rf"|(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, ?\d{{1,5}} (?:{CAPITAL}[\w'’-]+ ){{1,3}}(?:{'|'.join(STREETS)})\b\.?(?:, ?(?:{CAPITAL}[a-z]+ ?){{1,2}}(?: ?\d{{5}})?)?"
 )
-#: Contexts in which only a person can stand. Names found there teach the lexicon.
+#: Contexts in which only a person can stand. Names found there are places, and teach the lexicon.
+#: What begins with the name is found from its end: signs that follow a name, which is looked for before them.
+KO_BEFORE = [
+    re.compile(rf" {TITLE}(?:(?=[ ,.\r\n]|$)|(?=(?:에게|께|의|은|는|이|가|을|를|과|와)[ ,.]))"),
+    re.compile(r"\(인\)"),
+]
+KO_ENDS = re.compile(rf"{KO_NAME}\Z")
 KO_CONTEXTS = [
-    re.compile(rf"{KO_NAME} {TITLE}(?:(?=[ ,.\r\n]|$)|(?=(?:에게|께|의|은|는|이|가|을|를|과|와)[ ,.]))"),
-    re.compile(rf"{KO_NAME}\(인\)"),
     re.compile(rf"받는 사람은 {KO_NAME}이다"),
     re.compile(rf"성명:? {KO_NAME} ?[/,|]"),
 ]
@@ -114,6 +118,12 @@ EN_CONTEXTS = [
         rf"regards,\s+{EN_NAME}(?=\s|$)",
     )
 ]
+# Words that stand in such contexts as a name does and are none.
+NO_NAMES = frozenset(
+    "제조사 공급사 유통사 고객사 주관사 전문가 연구원 연구소 연구팀 기획팀 구매팀 홍보팀 인사팀 임상팀 안전팀 심의회 심사단 조직위 이사회 "
+    "Act Agency Article Association Board Centre Center Clinic Code Committee Company Council Department Devices Director Foundation Group Guideline "
+    "Hospital Institute Manager Medical Ministry Office Policy Secretariat Section Service Services Society Team Union University".split()
+)
 #: What may follow a Korean name without a blank.
 AFTER = rf"(?=(?:{TITLE})?(?:이|가|은|는|을|를|의|와|과|도|만|에게|에게서|한테|께|께서|이다|입니다|이라고|로|으로|이나|등)?(?:은|는|이|가|을|를|의|도)?(?![가-힣]))"
 #: A number that goes on, or a code of letters and digits, is another number.
@@ -168,21 +178,33 @@ def _ko_parts(name: str) -> tuple[str, str, str]:
     return packed[:-2], packed[-2], packed[-1]
 
 
+def context_names(folded: str) -> list[tuple[int, int]]:
+    """(start, end) of the names that stand in contexts of persons."""
+    found = []
+    for pattern in KO_BEFORE:
+        for m in pattern.finditer(folded):
+            if name := KO_ENDS.search(folded, max(0, m.start() - 6), m.start()):
+                found.append(name.span(1))
+    for pattern in KO_CONTEXTS + EN_CONTEXTS:
+        found += [m.span(1) for m in pattern.finditer(folded)]
+    return [(a, z) for a, z in found if NO_NAMES.isdisjoint(re.split("[ ,]+", folded[a:z]))]
+
+
 def name_parts(folded: str) -> list[tuple[str, str]]:
     """(part, token) of the names that stand in contexts of persons."""
     out = []
-    for pattern in KO_CONTEXTS:
-        for m in pattern.finditer(folded):
-            out += zip(("ko_family", "ko_first", "ko_second"), _ko_parts(m[1]))
-    for pattern in EN_CONTEXTS:
-        for m in pattern.finditer(folded):
-            if ", " in m[1]:
-                last, first = m[1].split(", ")
-            else:
-                first, last = m[1].split(" ", 1)
-            if not first.endswith("."):
-                out.append(("given", first))
-            out.append(("family", last))
+    for a, z in context_names(folded):
+        name = folded[a:z]
+        if "가" <= name[0] <= "힣":
+            out += zip(("ko_family", "ko_first", "ko_second"), _ko_parts(name))
+            continue
+        if ", " in name:
+            last, first = name.split(", ")
+        else:
+            first, last = name.split(" ", 1)
+        if not first.endswith("."):
+            out.append(("given", first))
+        out.append(("family", last))
     return out
 
 
@@ -212,6 +234,7 @@ def spans(folded: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     if MAY_BE_KO_ADDRESS.search(folded):
         found += [(*m.span(), "address") for m in KO_ADDRESS.finditer(folded)]
     found += [(*m.span(), "address") for m in EN_ADDRESS.finditer(folded)]
+    found += [(a, z, "name") for a, z in context_names(folded)]
     for pattern in name_patterns(lex):
         found += [(*m.span(), "name") for m in pattern.finditer(folded)]
     rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
@@ -224,13 +247,13 @@ def spans(folded: str, lex: Lexicon) -> list[tuple[int, int, str]]:
     return sorted(kept)
 
 
-def learn(texts: DataFrame, least: int = 2, share: float = 0.05) -> Lexicon:
+def learn(texts: DataFrame, least: int = 2) -> Lexicon:
     """The lexicon of all (doc_id, text): parts seen in contexts of persons.
 
-    A part counts if it is seen in at least ``least`` documents and at least
-    ``share`` times as often as the most frequent part of its kind. Counted
-    with a map-side combine. What reaches the driver are the distinct parts of
-    names, which saturate; no text does.
+    A part counts if it is seen in at least ``least`` documents, however often
+    others are, so a group of copies raises no bar for them. Counted with a
+    map-side combine. What reaches the driver are the distinct parts of names,
+    which saturate; no text does.
     """
 
     def run(batches):
@@ -240,10 +263,9 @@ def learn(texts: DataFrame, least: int = 2, share: float = 0.05) -> Lexicon:
             columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["part", "token", "n"])
 
-    parts = texts.select("text").mapInArrow(run, "part string, token string, n long").groupBy("part", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    parts = texts.select("text").mapInArrow(run, "part string, token string, n long").groupBy("part", "token").agg(F.sum("n").alias("n"))
     got: dict[str, set[str]] = {}
-    most = parts.groupBy("part").agg(F.max("n").alias("top"))
-    for r in parts.join(most, "part").where(F.col("n") >= share * F.col("top")).collect():
+    for r in parts.where(F.col("n") >= least).collect():
         got.setdefault(r["part"], set()).add(r["token"])
     return Lexicon(**{k: frozenset(v) for k, v in got.items()})
 

@@ -23,3 +23,15 @@ def test_each_form_of_mail_address_is_found_alone(address):
 
 def test_numbers_behind_at_are_no_hosts():
     assert not found("A fee set at 12.50 or at 3.5x. It is held at noon. See you at work.")
+
+
+def test_a_name_in_a_context_is_a_place_without_a_lexicon():
+    assert found("According to Ivo Harte, it was paid. Reviewed by Ethics Committee.") == {("name", "Ivo Harte")}
+    assert found("담당자 김나별 원장에게 보냈다. 선우 가 담(인) 제조사 대표의 뜻이다.") == {("name", "김나별"), ("name", "선우 가 담")}
+
+
+def test_copies_raise_no_bar_for_other_names(spark):
+    copies = [(k, "The patient, Mara Quist, signed.") for k in range(300)]
+    others = [(1000, "According to Ivo Harte, yes."), (1001, "Neither Ivo Harte nor the host came."), (1002, "Late again: Harte, Ivo and Mara Quist.")]
+    got = personal.find_places(spark.createDataFrame(copies + others, "doc_id long, text string")).where("doc_id = 1002 AND pii_kind = 'name'")
+    assert {r.entity for r in got.collect()} == {"Harte, Ivo", "Mara Quist"}
