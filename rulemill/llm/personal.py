@@ -313,6 +313,11 @@ SPOKEN_DIGITS = str.maketrans("공영일이삼사오육륙칠팔구", "001234566
 PAST_POOL = 4  # attempts after which surrogate names get a part more
 
 
+def country_code(phone: str) -> str:
+    """Of a telephone number that begins with +; codes of other countries end at the first sign."""
+    return re.match(r"\+(82|44|1(?!\d\d?[- .])|\d{1,3}(?=[- .])|\d)", phone)[1]
+
+
 def canonical(kind: str, entity: str) -> str:
     """What is the same for all spellings of one entity."""
     flat = " ".join(entity.split())
@@ -321,8 +326,13 @@ def canonical(kind: str, entity: str) -> str:
         flat = re.sub(rf" ?[(\[{{] ?{DOT} ?[)\]}}] ?| {DOT} ", ".", flat)
         return flat.replace(" ", "").lower()
     if kind == "phone":
-        digits = "".join(c for c in flat.translate(SPOKEN_DIGITS) if c.isdecimal())
-        digits = re.sub(r"^820?", "0", digits) if "+" in flat else digits
+        flat = flat.translate(SPOKEN_DIGITS)
+        digits = "".join(c for c in flat if c.isdecimal())
+        if flat.startswith("+") and (code := country_code(flat)) != "1":
+            own = digits[len(code) :]
+            if code == "82" or "(0)" in flat:
+                own = own.removeprefix("0")
+            return "0" + own if code == "82" else f"+{code} {own}"
         return digits[1:] if len(digits) == 11 and digits[0] == "1" else digits
     if kind == "id_number":
         return "".join(c for c in flat if c.isalnum()).upper()
@@ -331,6 +341,8 @@ def canonical(kind: str, entity: str) -> str:
     if kind == "name" and ", " in flat:
         last, first = flat.split(", ", 1)
         flat = f"{first} {last}"
+    if kind == "name":
+        flat = re.sub(r"^(\w\.) ?", r"\1 ", flat)
     return flat.lower()
 
 
@@ -346,7 +358,7 @@ def surrogate(kind: str, canon: str, gender: str, attempt: int, key: bytes) -> s
     if kind == "email":
         return f"user{draw(16**10):010x}@example.com"
     if kind == "phone":  # the network or area stays, so does the length
-        head = 3 if canon.startswith("01") else 2
+        head = canon.index(" ") + 2 if canon[0] == "+" else 3 if canon.startswith("01") else 2
         return canon[:head] + "".join(str(draw(10)) for _ in canon[head:])
     if kind == "id_number":
         if re.fullmatch(r"\d{13}", canon):  # a date and the digit of century and gender stay valid
@@ -355,30 +367,29 @@ def surrogate(kind: str, canon: str, gender: str, attempt: int, key: bytes) -> s
     ko = any("가" <= c <= "힣" for c in canon)
     if kind == "address":
         number = f"{draw(900) + 1}-{draw(90) + 1}" if attempt < PAST_POOL else f"{draw(10**6)}-{draw(10**6)}"
-        return f"{KO_STREETS[draw(len(KO_STREETS))]} {number}" if ko else f"{number.replace('-', '')} {EN_STREETS[draw(len(EN_STREETS))]}"
+        return f"{KO_STREETS[draw(len(KO_STREETS))]} {number}" if ko else f"{number.replace('-', '')} {EN_STREETS[draw(len(EN_STREETS))]}".lower()
     if ko:
         given = KO_GIVEN[gender][draw(10)] if attempt < 2 else "".join(KO_SYLLABLES[draw(len(KO_SYLLABLES))] for _ in range(2 + (attempt >= PAST_POOL)))
         return FAMILY[8 + draw(30)] + given
     family = EN_FAMILY[draw(16)] if attempt < 2 else "-".join(EN_FAMILY[draw(16)] for _ in range(2 + max(0, attempt - PAST_POOL)))
-    return f"{EN_GIVEN[gender][draw(8)]} {family}".lower()
+    given = f"{chr(ord('a') + draw(26))}." if re.match(r"\w\. ", canon) else EN_GIVEN[gender][draw(8)]
+    return f"{given} {family}".lower()
 
 
 def dressed(kind: str, entity: str, canon: str, stand_in: str) -> str:
-    """The stand-in in the format of the entity: signs between digits, letter case, order and blanks of a name."""
+    """The stand-in in the format of the entity: signs between digits, letter case, order and blanks of a name.
+
+    ``canonical`` of it is the stand-in again, so what is distinct there is distinct in the text.
+    """
     if kind in ("phone", "id_number"):
         source = entity.translate(SPOKEN_DIGITS) if kind == "phone" else entity
-        spare = len([c for c in source if c.isalnum()]) - len(stand_in)  # a country code in front
-        if spare < 0:
-            source, spare = source, 0
-        pool, out = iter(stand_in), []
-        for c in source:
-            if not c.isalnum():
-                out.append(c)
-            elif spare > 0:
-                out.append(c)
-                spare -= 1
-            else:
-                out.append(next(pool, c))
+        pool = [c for c in stand_in.split(" ")[-1] if c.isalnum()]
+        # What the entity has more in front - a country code, a zero in brackets - stays, and what it writes less falls away.
+        code = len(country_code(source)) if kind == "phone" and source[0] == "+" else 0
+        places = [i for i, c in enumerate(source) if c.isalnum()][code:]
+        out = list(source)
+        for i, c in zip(places[::-1], pool[::-1]):
+            out[i] = c
         return "".join(out)
     if kind == "email":
         return stand_in.upper() if entity.isupper() else stand_in
@@ -387,8 +398,8 @@ def dressed(kind: str, entity: str, canon: str, stand_in: str) -> str:
     if kind == "name":
         first, last = (w.title() for w in stand_in.split(" ", 1))
         last = last.upper() if re.search(r"\b[^\W\d_a-zß-ÿ]{3,}", entity) else last
-        return f"{last}, {first}" if "," in entity else f"{first[0]}. {last}" if re.match(r"\w\. ", entity) else f"{first} {last}"
-    return stand_in
+        return f"{last}, {first}" if "," in entity else f"{first} {last}"
+    return stand_in.title() if stand_in.isascii() else stand_in
 
 
 def surrogates(entities: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
