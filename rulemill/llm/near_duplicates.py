@@ -6,10 +6,10 @@ full one), BITS_EACH bits of each. If two signatures differ in no more than
 (ERRORS + 1) x CHUNKS - 1 symbols then, by the pigeonhole principle, at least
 one chunk differs in no more than ERRORS symbols. All ways to allow for ERRORS
 errors in a chunk are enumerated as keys (the chunk with those symbols
-blanked), so every pair within that signature distance - 23 of 72 symbols with
+blanked), so every pair within that signature distance - 27 of 84 symbols with
 the defaults - shares a key. Beyond it keys are still shared by chance: a pair
-at similarity exactly 0.7 is missed once in some 700 times, at 0.75 once in
-9,000, at 0.8 once in 350,000.
+at similarity exactly 0.7 is missed once in some 2,200 times, at 0.75 once in
+47,000, at 0.8 less than once in a million.
 
 Chunks are joined a few at a time, so that only their keys are shuffled at once.
 
@@ -36,7 +36,7 @@ from rulemill.llm.uniform import letters_of
 from rulemill.operators.components import connected_components
 from rulemill.session import cut, discard, spread
 
-CHUNKS, SYMBOLS, ERRORS, BITS_EACH = 12, 6, 1, 8
+CHUNKS, SYMBOLS, ERRORS, BITS_EACH = 14, 6, 1, 8
 #: Chunks joined at once.
 AT_ONCE = 2
 #: Pairs left in open buckets, for each of their members, that are compared one by one.
