@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,23 +28,39 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_guard, _open = threading.Lock(), {}
 
 
-def cut(df: DataFrame) -> DataFrame:
+@contextmanager
+def _tidy(spark: SparkSession):
+    """While any thread is inside, the session removes shuffle files of finished queries; the last one out restores the setting."""
+    with _guard:
+        count, before = _open.get(id(spark), (0, spark.conf.get(CLEANUP)))
+        _open[id(spark)] = count + 1, before
+        spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _guard:
+            count, before = _open.pop(id(spark))
+            if count > 1:
+                _open[id(spark)] = count - 1, before
+            else:
+                spark.conf.set(CLEANUP, before)
+
+
+def cut(df: DataFrame, path: str | None = None, by: list[str] = ()) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     The result has no lineage to what made it, so a lost executor costs a
     re-read and iterative plans stay small. Shuffle files of the write are
-    removed when it ends, for nothing reads them again.
+    removed when it ends, for nothing reads them again. With a ``path`` rows
+    are appended to the table there, in folders by the columns ``by``.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
+    path = path or f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    with _tidy(spark):
+        df.write.mode("append").option("compression", "zstd").partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out
@@ -59,11 +77,12 @@ def discard(*tables: DataFrame) -> None:
 def spread(df: DataFrame) -> DataFrame:
     """Give work that is costly a row at least one partition a core.
 
-    Large inputs already have more splits than cores and pass unchanged; a
-    single small file is dealt out.
+    Meant for scans. A table of as many files as there are cores has as many
+    splits and passes unchanged; a few small files are dealt out. Only the
+    number of files is looked at, so no job runs here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if len(df._jdf.inputFiles()) >= cores else df.repartition(cores)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from rulemill import session
 from rulemill.functions.looks import look, plain_id
 from rulemill.model import RULE
 from rulemill.operators import checks, ingest, lifecycle, monitor, search
@@ -140,3 +141,22 @@ def test_registry(spark):
         files.add_version(v, "d", "1", "g")
     with pytest.raises(KeyError):
         files.add_version(v, "e", "1", "g")
+
+
+def test_spread_runs_no_job(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("spread", "spread")
+    grouped = spark.range(100).groupBy((F.col("id") % 7).alias("k")).count()
+    out = session.spread(grouped)
+    assert not tracker.getJobIdsForGroup("spread")
+    assert out.count() == 7
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_cut_restores_the_setting_and_appends(spark, tmp_path):
+    before = spark.conf.get(session.CLEANUP)
+    path = f"file://{tmp_path}/t"
+    session.cut(spark.range(3), path)
+    assert session.cut(spark.range(4), path).count() == 7 and spark.conf.get(session.CLEANUP) == before
+    part = session.cut(spark.range(5))
+    session.discard(part)
