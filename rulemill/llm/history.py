@@ -2,140 +2,141 @@
 
 The metric is the number of shingles by which two sets differ,
 D(x, y) = |x - y| + |y - x|; a similarity of t means D <= (1-t)/(1+t) (|x|+|y|).
-Distances to pivots are stored with each accepted text, and the triangle
-inequality |D(x, p) - D(y, p)| <= D(x, y) prunes, summed over disjoint pivots:
+The table holds, once for each distinct accepted text, its distances to fixed
+pivots, none of which depends on the data:
 
-* the empty set: its distance is the size, which gives the range a partner lies in;
+* the empty set: its distance is the size. By the triangle inequality a partner
+  lies in a range of it; the table is stored in folders by such ranges, and a
+  batch reads those next to its own sizes only;
 * 512 disjoint buckets of all shingles: D(x, bucket) is kept modulo 2, in eight
   words; the number of words' bits that differ is a lower bound of D(x, y);
-* single shingles: D(x, {s}) differs from |x| + 1 only where s is in x. Only
-  those distances are stored, for the rarest shingles of x in an order that is
-  fixed when the table is built. Two texts that share none of these differ in
-  all of them, more than similar texts may; and at place i of that order the
-  partner's size is bounded too.
-
-A batch is therefore joined to the table on pivot, within a range of the size,
-with the sketch as filter, and what is left is verified on the shingles
-themselves. No similar pair is pruned. Whole texts as pivots were tried on
-paper and left out: unrelated units have distances of 0.85 to 1 to any text,
-and at a radius of 0.3 the triangle inequality then excludes none.
-
-Accepted rows are appended; the history is not processed again.
+* the heads of 84 fixed orders of the shingles: the distance is the rank of the
+  first shingle that is in x, kept modulo 256. Sets of similarity t are at the
+  same distance from such a pivot with probability t.
+
+Range and buckets prune without loss. They leave too many pairs to visit, and
+so would whole texts or rare single shingles as pivots: unrelated units lie 0.85
+to 1 apart, and of 24,000 history texts some 2,400 share more than one shingle
+in twenty with a draft. So a draft visits only what has the same distances to
+five of six pivots in one of fourteen groups - the keys that the near-duplicate
+join uses, with its chance of a miss - and what is left is verified on the
+distance itself.
+
+The history lies in one folder: ``pivots`` (the table), ``texts`` (letters,
+read for candidates only), ``ids`` and ``about``. ``accept_all`` makes it,
+``History.load`` opens it in another session, and accepted drafts are appended
+as further files: no text of the history is shingled again.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import uuid
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulemill.llm.codepoints import decode
-from rulemill.llm.near_duplicates import distinct_letters
-from rulemill.llm.shingles import SKETCH, WIDTH, distinct_runs, may_be_similar, profile_arrays, small_batches, verified
+from rulemill.llm.buckets import ids_of, members
+from rulemill.llm.near_duplicates import CHUNKS, NEAR, PROFILE, PROFILE_TYPES, fingerprints, keys_of, letters_where, plausible, representatives, similar_edges, truly_similar
+from rulemill.llm.shingles import small_batches
 from rulemill.llm.uniform import uniform_text
-from rulemill.session import cut, discard, spread
+from rulemill.session import cut, discard, shared_dir, spread
 
-#: Counters of the rarity order. Their number is fixed, so the order table has one size at any scale.
-RARITY_BUCKETS = 1 << 20
-#: Expected meetings of a batch with the table, for each row of the batch, beyond which it is taken in slices.
-MEETINGS = 50_000
+#: Rows of a key, smallest first, that a draft is compared with at first, and how many times more in each round after.
+FRONT, MORE = 16, 16
+KEYS = keys_of(range(CHUNKS))
 
 
-def bucket_of(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(8)).astype(np.int64) % RARITY_BUCKETS
+@dataclass(frozen=True)
+class History:
+    """Accepted texts and ids, stored in the folder ``path``."""
 
+    spark: SparkSession
+    path: str
+    threshold: float
 
-def rarity_order(texts: DataFrame) -> np.ndarray:
-    """For each bucket of shingles the logarithm of the number of (rep, letters) rows with one of them, over all rows."""
+    def _table(self, name: str, shape: str) -> DataFrame:
+        return self.spark.read.schema(shape).parquet(f"{self.path}/{name}")
 
-    def run(batches):
-        total = np.zeros(RARITY_BUCKETS, np.int64)
-        for b in small_batches(batches):
-            total += np.bincount(bucket_of(distinct_runs(decode(b.column(1)), WIDTH)[0]), minlength=RARITY_BUCKETS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(total[some])], ["bucket", "n"])
+    @property
+    def texts(self) -> DataFrame:
+        return self._table("texts", "id long, letters string")
 
-    counts = texts.select("rep", "letters").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    got = counts.select("bucket", F.floor(8 * F.log2("n")).cast("int").alias("n")).toArrow()
-    order = np.zeros(RARITY_BUCKETS, np.uint16)
-    order[got.column("bucket").to_numpy()] = got.column("n").to_numpy() + 1
-    return order
+    @property
+    def pivots(self) -> DataFrame:
+        return self._table("pivots", f"rep long, {PROFILE_TYPES}, size_range int")
 
+    @property
+    def ids(self) -> DataFrame:
+        return self._table("ids", "id_key string, kept_no long")
 
-def pivot_table(texts: DataFrame, order: np.ndarray, threshold: float) -> DataFrame:
-    """(rep, letters, n, sketch, pivots): pivots are the shingles of which similar texts must share one, rarest first."""
+    def near(self, batch: DataFrame) -> DataFrame:
+        """The ranges of the table in which partners of the rows of ``batch`` (n) can lie."""
+        own = [r[0] for r in batch.select(size_range(F.col("n"), self.threshold)).distinct().collect()]  # as many as a text's length has steps
+        return self.pivots.where(F.col("size_range").isin(sorted({r + k for r in own for k in (-1, 0, 1)})))
 
-    def run(batches):
-        for b in small_batches(batches):
-            n = len(b)
-            hashes, rows = distinct_runs(decode(b.column(1)), WIDTH)
-            by = np.lexsort((hashes, order[bucket_of(hashes)], rows))
-            hashes = hashes[by]
-            sizes = np.bincount(rows, minlength=n)
-            place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            most = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
-            kept = place < most[rows]
-            offsets = np.concatenate([[0], np.cumsum(np.minimum(most, sizes))]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes[kept].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *profile_arrays(b.column(1)), lists], ["rep", "letters", "n", *SKETCH, "pivots"])
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> History:
+        return History(spark, path, spark.read.schema("threshold double").parquet(f"{path}/about").first()[0])
 
-    return texts.select("rep", "letters").mapInArrow(run, f"rep long, letters string, n int, {', '.join(f'{s} long' for s in SKETCH)}, pivots array<long>")
+    def append(self, texts: DataFrame, pivots: DataFrame, ids: DataFrame) -> None:
+        """Adds files: texts (id, letters), pivots (rep, profile) of distinct letters, ids (id_key, kept_no)."""
+        cut(texts.select("id", "letters"), f"{self.path}/texts")
+        cut(pivots.select("rep", *PROFILE, size_range(F.col("n"), self.threshold).alias("size_range")), f"{self.path}/pivots", ["size_range"])
+        cut(ids.select("id_key", "kept_no"), f"{self.path}/ids")
 
 
-def _postings(table: DataFrame) -> DataFrame:
-    return table.select("rep", "n", *SKETCH, F.posexplode("pivots").alias("place", "pivot"))
+def size_range(n: Column, threshold: float) -> Column:
+    """Ranges of the distance to the empty set, of ratio 1 / threshold: partners lie in the same or a neighbouring one."""
+    return F.floor(F.log(n) / F.log(F.lit(1 / threshold))).cast("int")
 
 
-def meetings(batch: DataFrame, table: DataFrame) -> int:
-    """How many pairs of rows meet at a pivot."""
-    count = lambda t, c: t.select(F.explode("pivots").alias("pivot")).groupBy("pivot").agg(F.count("*").alias(c))
-    return count(batch, "x").join(count(table, "y"), "pivot").agg(F.sum(F.col("x") * F.col("y"))).first()[0] or 0
+def _keys_in(rows: DataFrame, wanted) -> DataFrame:
+    """(key, rep, n, mark) of rows (rep, n, sig), for the keys that the broadcast bitmap may have."""
 
+    def run(batches):
+        for b in small_batches(batches):
+            key, mark, rep = KEYS(b)
+            hit = wanted.value.may_have(key)
+            n = np.repeat(b.column("n").to_numpy(), len(key) // max(len(b), 1))
+            columns = [key.view(np.int64), rep, n, mark.view(np.int64)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[hit]) for c in columns], ["key", "rep", "n", "mark"])
 
-def similar_pairs(batch: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): reps of the batch and of the table with at least that similarity; a row is no partner of itself."""
-    t = threshold
-    x, y = _postings(batch).alias("x"), _postings(table).alias("y")
-    # What the two can still share from these places on must be enough.
-    enough = F.expr(f"least(x.n - x.place, y.n - y.place) >= {t / (1 + t)} * (x.n + y.n) - 1e-6")
-    met = x.join(y, (F.col("x.pivot") == F.col("y.pivot")) & enough & may_be_similar("x", "y", t) & F.expr("x.rep <> y.rep"))
-    return verified(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), batch, table, t)
+    return rows.select("rep", "n", "sig").mapInArrow(run, "key long, rep long, n int, mark long")
 
 
-def smallest_similar(batch: DataFrame, table: DataFrame, threshold: float) -> DataFrame:
-    """(a, b): for each rep of the batch the smallest similar rep of the table.
+def smallest_similar(batch: DataFrame, batch_texts: DataFrame, table: DataFrame, table_texts: DataFrame, threshold: float, front: int = FRONT) -> DataFrame:
+    """(a, b): for each rep of ``batch`` the smallest similar rep of ``table``; both are profiles, with letters by id beside them.
 
-    Where very many rows meet (a group of copies with a third of all rows), the
-    table is taken in slices of rising rep, and rows that have found a partner
-    leave: a partner in a later slice would be larger.
+    Only keys of the batch leave the table, by a bitmap of fixed size. Of the
+    table's rows with one key the ``front`` smallest are visited at first
+    (ranked before the shuffle too, so a hot key sends few); a row of the batch
+    goes on to more of them only while its best partner could be beaten by one
+    not visited yet. No pair within a hot group is formed beyond that.
     """
-    best = lambda pairs: pairs.groupBy("a").agg(F.min("b").alias("b"))
-    rows = batch.count()
-    if not rows or meetings(batch, table) <= MEETINGS * rows:
-        return best(similar_pairs(batch, table, threshold))
-    ends = [float("-inf"), *table.approxQuantile("rep", [1 / 512, 1 / 64, 1 / 8], 1e-4), float("inf")]
-    found = None
-    for low, high in zip(ends, ends[1:]):
-        part = cut(best(similar_pairs(batch, table.where((F.col("rep") > low) & (F.col("rep") <= high)), threshold)))
-        found = part if found is None else found.union(part)
-        batch = batch.join(part, batch.rep == part.a, "left_anti")
-    return found
-
-
-@dataclass(frozen=True)
-class History:
-    """Accepted texts by pivot distance, and accepted ids. Tables in the shared folder, appended to and never rebuilt."""
-
-    texts: DataFrame
-    ids: DataFrame  # (id_key, kept_no)
-    order: np.ndarray
-    threshold: float
-
-    def append(self, texts: DataFrame, ids: DataFrame) -> History:
-        return replace(self, texts=self.texts.unionByName(texts), ids=self.ids.unionByName(ids))
+    send = batch.sparkSession.sparkContext.broadcast
+    t, found, open_ = threshold, None, batch
+    while True:
+        asked = send(members(spread(open_).select("rep", "sig"), lambda b: KEYS(b)[0].view(np.int64)))
+        rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
+        ranked = cut(_keys_in(table, asked).withColumn("place", rank).where(F.col("place") <= front + 1))
+        there = send(members(ranked.select("key"), ids_of))
+        mine = _keys_in(spread(open_), there)
+        fits = F.expr(f"bit_count(x.mark ^ y.mark) <= {NEAR} AND least(x.n, y.n) >= {t - 1e-9} * greatest(x.n, y.n)")
+        met = mine.alias("x").join(ranked.alias("y"), "key").where(fits | (F.col("place") > front)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), (F.col("place") > front).alias("beyond"))
+        met = cut(met.distinct())
+        near = cut(plausible(met.where("NOT beyond").select("a", "b"), open_, table, t))
+        left, right = (letters_where(x, near.select(c), "letters") for x, c in ((batch_texts, "a"), (table_texts, "b")))
+        best = cut(truly_similar(near, left, right, t).groupBy("a").agg(F.min("b").alias("b")))
+        found = best if found is None else found.union(best)
+        unseen = met.where("beyond").groupBy("a").agg(F.min("b").alias("next")).join(best, "a", "left").where("b IS NULL OR next < b").select("a")
+        open_ = cut(open_.join(unseen, open_.rep == unseen.a, "left_semi"))
+        discard(ranked, met, near)
+        if not open_.head(1):
+            return found.groupBy("a").agg(F.min("b").alias("b"))
+        front *= MORE
 
 
 def id_key(rule_id: Column, version: Column) -> Column:
@@ -144,24 +145,26 @@ def id_key(rule_id: Column, version: Column) -> Column:
     return F.when(F.length(plain) > 0, F.concat(plain, F.lit("\n"), version))
 
 
-def accept_all(units: DataFrame, threshold: float) -> History:
-    """A history of ``units`` (unit_no, rule_id, version, text), all accepted. Of equal texts or ids the smallest unit_no stands."""
-    base = distinct_letters(units, "unit_no", "text")
-    reps = cut(base.groupBy("letters").agg(F.min("id").alias("rep")).select("rep", "letters"))
-    order = rarity_order(spread(reps))
+def accept_all(units: DataFrame, threshold: float, path: str | None = None) -> History:
+    """A new history of ``units`` (unit_no, rule_id, version, text), all accepted, in the folder ``path``. Of equal texts or ids the smallest unit_no stands."""
+    spark = units.sparkSession
+    path = path or f"{shared_dir(spark)}/history-{uuid.uuid4().hex}"
+    out = History(spark, path, threshold)
+    spark.range(1).select(F.lit(threshold).alias("threshold")).coalesce(1).write.parquet(f"{path}/about")
+    prints = cut(fingerprints(units, "unit_no", "text", keep_letters=True), f"{path}/texts")
     keys = units.where(F.col("unit_no").isNotNull()).select(id_key(F.col("rule_id"), F.col("version")).alias("id_key"), F.col("unit_no").alias("kept_no"))
-    ids = cut(keys.where(F.col("id_key").isNotNull()).groupBy("id_key").agg(F.min("kept_no").alias("kept_no")))
-    texts = cut(pivot_table(spread(reps), order, threshold))
-    discard(reps)
-    return History(texts, ids, order, threshold)
+    pivots = representatives(prints)
+    cut(pivots.select("rep", *PROFILE, size_range(F.col("n"), threshold).alias("size_range")), f"{path}/pivots", ["size_range"])
+    cut(keys.where(F.col("id_key").isNotNull()).groupBy("id_key").agg(F.min("kept_no").alias("kept_no")), f"{path}/ids")
+    return out
 
 
-def hold_batches(history: History, drafts: DataFrame) -> tuple[DataFrame, History]:
+def hold_batches(history: History, drafts: DataFrame) -> DataFrame:
     """Take in drafts (unit_no, batch_no, rule_id, version, text) by batch_no, then unit_no.
 
     Returns (kept_no, unit_no) of those that repeat an accepted unit - by id
-    and version or by text - with the smallest such unit_no, and the history
-    with the others appended. unit_no of drafts must be larger than any in the
+    and version or by text - with the smallest such unit_no; the others are
+    appended to the history. unit_no of drafts must be larger than any in the
     history. Drafts without unit_no or batch_no are not taken. Null texts,
     texts below the least length, null ids and null versions match nothing.
 
@@ -172,34 +175,34 @@ def hold_batches(history: History, drafts: DataFrame) -> tuple[DataFrame, Histor
     """
     t = history.threshold
     rows = drafts.where(F.col("unit_no").isNotNull() & F.col("batch_no").isNotNull())
-    base = cut(distinct_letters(rows, "unit_no", "text"))
-    reps = base.groupBy("letters").agg(F.min("id").alias("rep"))
-    rep_of = base.join(reps, "letters").select(F.col("id").alias("unit_no"), "rep")
+    prints = cut(fingerprints(rows, "unit_no", "text", keep_letters=True))
+    letters = prints.select("id", "letters")
+    reps = cut(representatives(prints))
+    rep_of = prints.select("id", "d0", "d1").join(reps.select("d0", "d1", "rep"), ["d0", "d1"]).select(F.col("id").alias("unit_no"), "rep")
     keyed = rows.select("unit_no", F.struct("batch_no", "unit_no").alias("turn"), id_key(F.col("rule_id"), F.col("version")).alias("id_key"))
-    state = cut(keyed.join(rep_of, "unit_no", "left").select("unit_no", "turn", "id_key", "rep"))
-    profiles = cut(pivot_table(spread(reps.select("rep", "letters")), history.order, t))
-    text_hits = cut(smallest_similar(profiles, history.texts, t))
-    exact = profiles.join(history.texts.select("letters", F.col("rep").alias("b")), "letters").select(F.col("rep").alias("a"), "b")
-    text_best = text_hits.union(exact).groupBy("a").agg(F.min("b").alias("by_text"))
-    held = state.join(text_best, state.rep == text_best.a, "left").join(history.ids.withColumnRenamed("kept_no", "by_id"), "id_key", "left")
-    held = cut(held.select("unit_no", "turn", "id_key", "rep", F.least("by_text", "by_id").alias("kept_no")))
+    by_text = smallest_similar(reps, letters, history.near(reps), history.texts, t)
+    held = keyed.join(rep_of, "unit_no", "left").join(by_text, F.col("rep") == F.col("a"), "left").join(history.ids.groupBy("id_key").agg(F.min("kept_no").alias("by_id")), "id_key", "left")
+    held = cut(held.select("unit_no", "turn", "id_key", "rep", F.least("b", "by_id").alias("kept_no")))
     old = held.where("kept_no IS NOT NULL").select("kept_no", "unit_no")
-    rest = held.where("kept_no IS NULL").drop("kept_no")
-    new, accepted = decide(rest, profiles, t)
-    texts = profiles.join(accepted.where("rep IS NOT NULL").groupBy("rep").agg(F.min("unit_no").alias("u")), "rep")
-    texts = texts.select(F.col("u").alias("rep"), "letters", "n", *SKETCH, "pivots")
-    ids = accepted.where("id_key IS NOT NULL").select("id_key", F.col("unit_no").alias("kept_no"))
-    return old.union(new), history.append(texts, ids)
+    new, accepted = decide(held.where("kept_no IS NULL").drop("kept_no"), reps, letters, t)
+    texts = accepted.where("rep IS NOT NULL").groupBy("rep").agg(F.min("unit_no").alias("u"))
+    history.append(
+        texts.join(letters, texts.rep == letters.id).select(F.col("u").alias("id"), "letters"),
+        texts.join(reps, "rep").select(F.col("u").alias("rep"), *PROFILE),
+        accepted.where("id_key IS NOT NULL").select("id_key", F.col("unit_no").alias("kept_no")),
+    )
+    return old.union(new)
 
 
-def decide(rest: DataFrame, profiles: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+def decide(rest: DataFrame, reps: DataFrame, letters: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
     """Of drafts (unit_no, turn, id_key, rep) without a partner in the history: repeats (kept_no, unit_no) and accepted rows.
 
     Drafts meet through their id and through their text, each kept once, so a
     group of copies costs a row each and not a pair each.
     """
-    there = profiles.join(rest.select("rep").distinct(), "rep", "left_semi")
-    links = cut(similar_pairs(there, there, threshold))
+    there = cut(reps.join(rest.select("rep").distinct(), "rep", "left_semi"))
+    links = similar_edges(there, letters, threshold, "letters", every=True)
+    links = cut(links.union(links.select("b", "a")).distinct())
     near = links.union(rest.where("rep IS NOT NULL").select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())
     busy = lambda c: rest.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c)
     linked = rest.join(busy("id_key"), "id_key", "left_semi").union(rest.join(busy("rep").union(links.select("a")), "rep", "left_semi").select("id_key", "unit_no", "turn", "rep")).distinct()
@@ -231,4 +234,4 @@ def decide(rest: DataFrame, profiles: DataFrame, threshold: float) -> tuple[Data
 def draft_cases(units: DataFrame, drafts: DataFrame, threshold: float = 0.7) -> DataFrame:
     """p2: (kept_no, unit_no)."""
     shape = lambda df, *more: df.select("unit_no", *more, "rule_id", F.col("source_ref.version").alias("version"), "text")
-    return hold_batches(accept_all(shape(units), threshold), shape(drafts, "batch_no"))[0]
+    return hold_batches(accept_all(shape(units), threshold), shape(drafts, "batch_no"))

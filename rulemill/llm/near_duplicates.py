@@ -11,14 +11,15 @@ the defaults - shares a key. Beyond it keys are still shared by chance: a pair
 at similarity exactly 0.7 is missed once in some 2,200 times, at 0.75 once in
 47,000, at 0.8 less than once in a million.
 
-Chunks are joined a few at a time, so that only their keys are shuffled at once.
-
-What shares a key is verified on the texts themselves. Within a bucket not all
-pairs are formed: its members are compared with a centre, what is linked
-becomes one component, and only pairs of different components remain for the
-next round, until those are few enough to be compared one by one. A hot bucket
-of copies thus costs one comparison a member, and no link between different
-components is lost.
+What shares a key must also agree in the parity bits of its symbols but for
+NEAR of 64, which a pair at 0.7 fails to do less than once in 50,000 times, and
+is then verified on the texts themselves. Keys are exchanged as packed arrays,
+some chunks at a time. Within a key not all pairs are formed: the first members
+are compared with all others; of keys with more members, what is linked becomes
+one component, and only pairs of different components are compared, with twice
+as many centres each time, until no key holds two components that have not met.
+A hot key of near-copies thus costs a few comparisons a member, and no link
+between different components is lost.
 """
 
 from __future__ import annotations
@@ -30,18 +31,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rulemill.llm.codepoints import decode, form, letters, row_bounds
+from rulemill.llm.codepoints import decode, encode, form, letters, letters_array, row_bounds
+from rulemill.llm.buckets import CENTRES, RANGE_KEYS, ids_of, meetings, members, packed
 from rulemill.llm.shingles import LEAST, SKETCH, WIDTH, distinct_runs, may_be_similar, mix, parity_sketch, similar, small_batches
-from rulemill.llm.uniform import letters_of
 from rulemill.operators.components import connected_components
 from rulemill.session import cut, discard, spread
 
 CHUNKS, SYMBOLS, ERRORS, BITS_EACH = 14, 6, 1, 8
 #: Chunks joined at once.
-AT_ONCE = 2
-#: Pairs left in open buckets, for each of their members, that are compared one by one.
-FEW = 16
-ROUNDS = 8
+AT_ONCE = 4
+#: Of 64 symbols of two similar signatures, how many may differ in their lowest bit.
+NEAR = 22
 
 
 def signatures(hashes: np.ndarray, rows: np.ndarray, n: int, count: int) -> np.ndarray:
@@ -74,8 +74,15 @@ def error_keys(symbols: np.ndarray, chunks: range, size: int, errors: int) -> np
     return np.stack(keys, axis=1)
 
 
-def with_signatures(rows: DataFrame, row_id: str, text: str, least: int = LEAST, count: int = CHUNKS * SYMBOLS) -> DataFrame:
-    """(id, d0, d1, n, sketch, sig) of texts with enough letters; d0 and d1 are a 128-bit digest of the letters."""
+PROFILE = ["n", *SKETCH, "sig"]
+PROFILE_TYPES = f"n int, {', '.join(f'{c} long' for c in SKETCH)}, sig binary"
+
+
+def fingerprints(rows: DataFrame, row_id: str, text: str, keep_letters: bool = False, least: int = LEAST, count: int = CHUNKS * SYMBOLS) -> DataFrame:
+    """(id, d0, d1, n, sketch, sig, letters) of texts with enough letters; d0 and d1 are a 128-bit digest of the letters, which come out on demand.
+
+    Null ids and texts are left out.
+    """
     kept = spread(rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")))
 
     def run(batches):
@@ -87,80 +94,122 @@ def with_signatures(rows: DataFrame, row_id: str, text: str, least: int = LEAST,
             ids, n = b.column(0).to_numpy(zero_copy_only=False)[long], int(long.sum())
             starts, sizes = row_bounds(codes)
             digests = []
+            place = np.arange(len(codes)) - np.repeat(starts, sizes + 1)
             for salt in (1, 2):  # sums over the letters of a mix of letter and place
-                place = np.arange(len(codes)) - np.repeat(starts, sizes + 1)
-                mixed = mix(mix(codes.astype(np.uint64) + np.uint64(salt << 40)) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                mixed = mix(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03) + np.uint64(salt << 40))
                 digests.append(np.add.reduceat(mixed, starts).view(np.int64) if n else np.empty(0, np.int64))
             hashes, own = distinct_runs(codes, WIDTH)
             sketch = parity_sketch(hashes, own, n)
             sig = signatures(hashes, own, n, count)
-            counts = np.bincount(own, minlength=n).astype(np.int32)
-            data = pa.FixedSizeBinaryArray.from_buffers(pa.binary(count), n, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, digests), pa.array(counts), *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))], data], ["id", "d0", "d1", "n", *SKETCH, "sig"])
+            sizes = np.bincount(own, minlength=n).astype(np.int32)
+            columns = [pa.array(ids), *map(pa.array, digests), pa.array(sizes), *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(len(SKETCH))]]
+            columns.append(pa.FixedSizeBinaryArray.from_buffers(pa.binary(count), n, [None, pa.py_buffer(sig.tobytes())]).cast(pa.binary()))
+            names = ["id", "d0", "d1", *PROFILE]
+            if keep_letters:
+                columns.append(encode(codes).cast(pa.string()))
+                names.append("letters")
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    return kept.mapInArrow(run, f"id long, d0 long, d1 long, {PROFILE_TYPES}" + ", letters string" * keep_letters)
+
+
+def representatives(prints: DataFrame, *more: str) -> DataFrame:
+    """(rep, d0, d1, profile, copies): of rows with the same letters the one with the smallest id."""
+    best = prints.groupBy("d0", "d1").agg(F.min_by(F.struct("id", *PROFILE, *more), "id").alias("p"), F.count("*").alias("copies"))
+    return best.select(F.col("p.id").alias("rep"), "d0", "d1", *[f"p.{c}" for c in (*PROFILE, *more)], "copies")
+
+
+def signatures_of(batch: pa.RecordBatch, column: str = "sig") -> np.ndarray:
+    return np.frombuffer(b"".join(batch.column(column).to_pylist()), np.uint8).reshape(len(batch), -1)
+
 
-    return kept.mapInArrow(run, f"id long, d0 long, d1 long, n int, {', '.join(f'{c} long' for c in SKETCH)}, sig binary")
+def marks_of(sig: np.ndarray) -> np.ndarray:
+    """The lowest bits of 64 symbols in one word."""
+    return np.packbits(sig[:, :64] & 1, axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def bucket_keys(reps: DataFrame, chunks: range, size: int = SYMBOLS, errors: int = ERRORS) -> DataFrame:
-    """(key, rep) of the given chunks."""
+def keys_of(chunks: range):
+    """Keys, marks and reps of a batch (rep, sig)."""
+
+    def run(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sig = signatures_of(batch)
+        keys = error_keys(sig, chunks, SYMBOLS, ERRORS)
+        wide = lambda x: np.repeat(x, keys.shape[1])
+        return keys.ravel(), wide(marks_of(sig)), wide(batch.column("rep").to_numpy())
+
+    return run
+
+
+def letters_where(texts: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
+    """(id, letters) of the rows of ``texts`` (id, text) whose id is in ``ids``, and a few more. Texts are filtered where they are read and not shuffled.
+
+    With text 'letters' they are letters already.
+    """
+    wanted = texts.sparkSession.sparkContext.broadcast(members(ids, ids_of))
 
     def run(batches):
         for b in small_batches(batches):
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), -1)
-            keys = error_keys(sig, chunks, size, errors).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(b.column(0).to_numpy(), keys.shape[1]))], ["key", "rep"])
+            kept = b.filter(pa.array(wanted.value.may_have(b.column(0).to_numpy(zero_copy_only=False))))
+            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1).cast(pa.string()) if text == "letters" else letters_array(kept.column(1)).cast(pa.string())], ["id", "letters"])
 
-    return reps.select("rep", "sig").mapInArrow(run, "key long, rep long")
+    return texts.select("id", text).mapInArrow(run, "id long, letters string")
 
 
-def distinct_letters(rows: DataFrame, row_id: str, text: str, least: int = LEAST) -> DataFrame:
-    """(id, letters) of rows whose text has enough letters. Null ids and texts are left out."""
-    kept = rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull())
-    return spread(kept.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))).select("id", letters_of(F.col("text")).alias("letters")).where(F.length("letters") >= least)
+def plausible(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Of distinct (a, b) those that sizes and sketches of a in ``left`` and b in ``right`` allow."""
+    small = ["rep", "n", *SKETCH]
+    met = pairs.alias("p").join(left.select(*small).alias("x"), F.expr("p.a = x.rep")).join(right.select(*small).alias("y"), F.expr("p.b = y.rep"))
+    return met.where(may_be_similar("x", "y", threshold)).select("a", "b")
 
 
-def verified_pairs(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Of distinct (a, b) those truly similar. Pairs meet the sketches first; texts (id, text) are read again only for what is left."""
-    small = ["rep", "n", *SKETCH]
-    met = pairs.alias("p").join(reps.select(*small).alias("x"), F.expr("p.a = x.rep")).join(reps.select(*small).alias("y"), F.expr("p.b = y.rep"))
-    near = cut(met.where(may_be_similar("x", "y", threshold)).select("a", "b"))
-    ids = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-    wanted = cut(spread(texts.join(ids, "id", "left_semi")).select("id", letters_of(F.col("text")).alias("letters")))
-    full = near.join(wanted.select(F.col("id").alias("a"), F.col("letters").alias("la")), "a").join(wanted.select(F.col("id").alias("b"), F.col("letters").alias("lb")), "b")
-    out = cut(full.where(similar(threshold)(F.col("la"), F.col("lb"))).select("a", "b"))
+def truly_similar(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Of (a, b) those whose letters in ``left`` and ``right`` (id, letters) are similar."""
+    full = pairs.join(left.select(F.col("id").alias("a"), F.col("letters").alias("la")), "a").join(right.select(F.col("id").alias("b"), F.col("letters").alias("lb")), "b")
+    return full.where(similar(threshold)(F.col("la"), F.col("lb"))).select("a", "b")
+
+
+def verified_pairs(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float, text: str = "text") -> DataFrame:
+    """Of (a, b), repeated or not, those truly similar, once each. Pairs meet the sketches first; texts (id, text) are read for what is left."""
+    near = cut(plausible(pairs.distinct(), reps, reps, threshold))
+    wanted = cut(letters_where(texts, near, text))
+    out = cut(truly_similar(near, wanted, wanted, threshold))
     discard(near, wanted)
     return out
 
 
-def similar_edges(reps: DataFrame, texts: DataFrame, threshold: float, few: int = FEW, rounds: int = ROUNDS) -> DataFrame:
-    """Verified links (a, b) among reps that join all that is similar, if not each pair by a link of its own."""
-    buckets = None
+def key_meetings(reps: DataFrame) -> DataFrame:
+    """(key, a, b) as ``buckets.meetings`` has them, over all chunks; pairs may be repeated."""
+    many = reps.count() * CHUNKS * SYMBOLS
+    met = None
     for c in range(0, CHUNKS, AT_ONCE):
-        keys = bucket_keys(reps, range(c, min(c + AT_ONCE, CHUNKS)))
-        sizes = keys.groupBy("key").agg(F.count("*").alias("m"), F.min("rep").alias("first")).where("m > 1")
-        part = cut(keys.join(sizes.select("key", "first"), "key").select("key", "rep", "first"))
-        buckets = part if buckets is None else buckets.union(part)
-    star = buckets.where("rep <> first").select(F.col("first").alias("a"), F.col("rep").alias("b")).distinct()
-    edges = verified_pairs(star, reps, texts, threshold)
-    rest = buckets.select("key", "rep")
-    for k in range(rounds + 1):
-        parts = connected_components(edges)
-        named = rest.join(parts, rest.rep == parts.node, "left").select("key", "rep", F.coalesce("component", "rep").alias("part"))
-        open_ = named.groupBy("key").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least < most").select("key")
-        # Pairs compared in a star need not meet again: of two parts both without a link only third ones are new.
-        rest = cut(named.join(open_, "key"))
-        left = rest.groupBy("key", "part").agg(F.count("*").alias("c")).groupBy("key").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        members, pairs = left.where("m > 2").agg(F.sum("m"), F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()
-        if not members:
+        chunks = range(c, min(c + AT_ONCE, CHUNKS))
+        ranges = max(int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-many * len(chunks) // CHUNKS // RANGE_KEYS))
+        part = cut(meetings(packed(spread(reps).select("rep", "sig"), keys_of(chunks), ranges), ranges, NEAR))
+        met = part if met is None else met.union(part)
+    return met
+
+
+def similar_edges(reps: DataFrame, texts: DataFrame, threshold: float, text: str = "text", every: bool = False) -> DataFrame:
+    """Verified links (a, b) among reps that join all that is similar; with ``every``, all similar pairs that share a key."""
+    met = key_meetings(reps)
+    edges = verified_pairs(met.where("key IS NULL").select("a", "b"), reps, texts, threshold, text)
+    rest = met.where("key IS NOT NULL").select("key", F.col("a").alias("rep"), F.col("b").alias("place"))
+    first, width = CENTRES, CENTRES
+    while True:
+        if every:
+            rest = rest.withColumn("part", F.col("rep"))
+        else:
+            parts = connected_components(edges)
+            rest = rest.drop("part").join(parts, rest.rep == parts.node, "left").select("key", "rep", "place", F.coalesce("component", "rep").alias("part"))
+        # Keys with centres yet to come, and with more than one component among their members.
+        open_ = rest.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.max("place").alias("z")).where((F.col("x") < F.col("y")) & (F.col("z") > first)).select("key")
+        rest = cut(rest.join(open_, "key", "left_semi"))
+        if not rest.head(1):
             return edges
-        if pairs <= few * members or k == rounds:
-            wide = rest.join(left.where("m > 2").select("key"), "key", "left_semi")
-            met = wide.alias("x").join(wide.alias("y"), F.expr("x.key = y.key AND x.part < y.part")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
-            return edges.union(verified_pairs(met.distinct(), reps, texts, threshold))
-        centre = rest.groupBy("key").agg(F.min_by(F.struct("rep", "part"), F.xxhash64("rep", F.lit(k))).alias("c"))
-        met = rest.join(centre, "key").where("part <> c.part").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b"))
-        edges = edges.union(verified_pairs(met.distinct(), reps, texts, threshold))
-        rest = rest.select("key", "rep")
+        centres = rest.where(F.col("place").between(first, first + width - 1))
+        new = rest.alias("x").join(centres.alias("c"), F.expr("x.key = c.key AND x.place > c.place AND x.part <> c.part")).select(F.least("x.rep", "c.rep").alias("a"), F.greatest("x.rep", "c.rep").alias("b"))
+        edges = edges.union(verified_pairs(new, reps, texts, threshold, text))
+        first, width = first + width, width * 2
 
 
 def near_duplicate_groups(rows: DataFrame, row_id: str, text: str, threshold: float = 0.7) -> DataFrame:
@@ -172,13 +221,11 @@ def near_duplicate_groups(rows: DataFrame, row_id: str, text: str, threshold: fl
     Only ids, digests and signatures are shuffled; texts are read again for
     candidates.
     """
-    base = cut(with_signatures(rows, row_id, text))
-    profile = F.struct("id", "n", *SKETCH, "sig")
-    reps = base.groupBy("d0", "d1").agg(F.min_by(profile, "id").alias("p"), F.count("*").alias("copies"))
-    reps = cut(reps.select(F.col("p.id").alias("rep"), "d0", "d1", "copies", "p.n", *[f"p.{c}" for c in SKETCH], "p.sig"))
-    members = cut(base.select("id", "d0", "d1"))
+    base = cut(fingerprints(rows, row_id, text))
+    reps = cut(representatives(base))
+    copies = cut(base.select("id", "d0", "d1"))
     discard(base)
     texts = rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
     parts = connected_components(similar_edges(reps, texts, threshold))
     grouped = reps.join(parts, reps.rep == parts.node, "left").where("component IS NOT NULL OR copies > 1").select("d0", "d1", F.coalesce("component", "rep").alias("group_no"))
-    return members.join(grouped, ["d0", "d1"]).select("group_no", F.col("id").alias("unit_no")).distinct()
+    return copies.join(grouped, ["d0", "d1"]).select("group_no", F.col("id").alias("unit_no")).distinct()

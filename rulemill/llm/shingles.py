@@ -71,13 +71,6 @@ def parity_sketch(hashes: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return np.packbits(odd, bitorder="little").view(np.int64).reshape(n, WORDS)
 
 
-def profile_arrays(letters: pa.Array) -> list[pa.Array]:
-    codes = decode(letters)
-    hashes, rows = distinct_runs(codes, WIDTH)
-    sketch = parity_sketch(hashes, rows, len(letters))
-    return [pa.array(np.bincount(rows, minlength=len(letters)).astype(np.int32)), *[pa.array(np.ascontiguousarray(sketch[:, i])) for i in range(WORDS)]]
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterator[pa.RecordBatch]:
     """Bounds what a batch of texts takes when it is expanded to shingles."""
     for batch in batches:
@@ -85,16 +78,6 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterat
             yield batch.slice(at, rows)
 
 
-def with_profiles(texts: DataFrame) -> DataFrame:
-    """Adds n (distinct shingles) and the sketch to (rep, letters)."""
-
-    def run(batches):
-        for b in small_batches(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *profile_arrays(b.column(1))], ["rep", "letters", "n", *SKETCH])
-
-    return texts.select("rep", "letters").mapInArrow(run, "rep long, letters string, n int, " + ", ".join(f"{s} long" for s in SKETCH))
-
-
 def may_be_similar(a: str, b: str, threshold: float) -> Column:
     """Necessary for similarity: sets of size n of which the sketches differ in no more bits than the sets may in shingles."""
     bits = " + ".join(f"bit_count({a}.{s} ^ {b}.{s})" for s in SKETCH)
@@ -119,16 +102,3 @@ def similar(threshold: float):
         return pa.array([similarity(x, y) >= threshold - 1e-12 for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
     return udf
-
-
-def verified(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Of distinct (a, b) those truly similar. left and right: profiles by rep of a and b.
-
-    Pairs first meet the sketches only, a few words each; the texts are joined
-    to what is left.
-    """
-    small = ["rep", "n", *SKETCH]
-    met = pairs.alias("p").join(left.select(*small).alias("x"), F.expr("p.a = x.rep")).join(right.select(*small).alias("y"), F.expr("p.b = y.rep"))
-    near = met.where(may_be_similar("x", "y", threshold)).select("a", "b")
-    full = near.join(left.select(F.col("rep").alias("a"), F.col("letters").alias("la")), "a").join(right.select(F.col("rep").alias("b"), F.col("letters").alias("lb")), "b")
-    return full.where(similar(threshold)(F.col("la"), F.col("lb"))).select("a", "b")

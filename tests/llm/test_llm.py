@@ -93,12 +93,49 @@ def test_near_duplicates_match_brute_force(spark, units):
     assert near_duplicates.near_duplicate_groups(df.limit(0), "unit_no", "text").count() == 0
 
 
-def test_star_rounds_lose_nothing(spark, units, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "FEW", 0)
+def test_centre_rounds_lose_nothing(spark, units, monkeypatch):
+    """With one symbol a key nearly all texts meet under a few keys, most of them unlike."""
+    monkeypatch.setattr(near_duplicates, "error_keys", lambda s, chunks, size, errors: (s[:, [c * size for c in chunks]] % 4).astype("uint64") << 32 | 7)
     df = spark.createDataFrame(units[:60], "unit_no long, text string")
     assert {tuple(r) for r in near_duplicates.near_duplicate_groups(df, "unit_no", "text").collect()} == groups(units[:60])
 
 
+def test_ranges_in_runs_meet_as_in_one():
+    """A key that comes in several runs of a range meets the same members as one that comes at once."""
+    import numpy as np
+
+    from rulemill.llm import buckets
+
+    class Direct:
+        def repartitionById(self, n, part):
+            return self
+
+        def mapInArrow(self, run, shape):
+            self.run = run
+            return self
+
+    rng = np.random.default_rng(1)
+    rows = [(0, *(x.tobytes() for x in (rng.integers(0, 9, 30, np.uint32), np.zeros(30, np.uint64), np.arange(30 * k, 30 * k + 30)))) for k in range(4)]
+    blobs = pa.RecordBatch.from_pylist([dict(zip(("part", "keys", "marks", "ids"), r)) for r in rows])
+    outcome = []
+    for size in (1 << 21, 10):
+        buckets.RANGE_KEYS, keep = size, buckets.RANGE_KEYS
+        got = [r for b in buckets.meetings(Direct(), 1, 64).run([blobs]) for r in b.to_pylist()]
+        buckets.RANGE_KEYS = keep
+        outcome.append(({(r["a"], r["b"]) for r in got if r["key"] is None}, sorted((r["key"], r["b"], r["a"]) for r in got if r["key"] is not None)))
+    assert outcome[0] == outcome[1] and len(outcome[0][1]) == 120
+
+
+def test_members_have_no_false_negatives(spark):
+    from rulemill.llm import buckets
+
+    import numpy as np
+
+    got = buckets.members(spark.range(0, 5000, 3, 3), buckets.ids_of)
+    assert got.may_have(np.arange(0, 5000, 3)).all() and got.may_have(np.arange(10**6, 10**6 + 10**4)).sum() < 20
+    assert not buckets.members(spark.range(0), buckets.ids_of).bits.any()
+
+
 def test_signature_guarantee():
     import numpy as np
 
@@ -123,24 +160,39 @@ def greedy(old, drafts, t=0.7):
     return out
 
 
-def test_history_matches_greedy(spark, units, monkeypatch):
+def test_history_matches_greedy(spark, units, tmp_path):
     old = [(i, 0, f"R-{i % 20}", "v", t) for i, t in units[:70]]
     new = [(1000 + i, R.randint(1, 3), R.choice([f"r-{i % 20}", f"ｎ-{i % 9}", None, " "]), R.choice(["v", "w", None]), t) for i, t in units[60:]]
     shape = "unit_no long, batch_no int, rule_id string, version string, text string"
     o, n = spark.createDataFrame(old, shape), spark.createDataFrame(new, shape)
     want = greedy(old, new)
-    kept, after = history.hold_batches(history.accept_all(o.drop("batch_no"), 0.7), n)
+    path = f"file://{tmp_path}/history"
+    kept = history.hold_batches(history.accept_all(o.drop("batch_no"), 0.7, path), n)
     assert {tuple(r) for r in kept.collect()} == want
+    # Another session opens the stored tables; the units themselves are not read again.
     again = [(5000 + d[0], 9, None, None, d[4]) for d in new]
-    kept2, _ = history.hold_batches(after, spark.createDataFrame(again, shape))
+    other = spark.newSession()
+    kept2 = history.hold_batches(history.History.load(other, path), other.createDataFrame(again, shape))
     accepted = old + [d for d in new if d[0] not in {u for _, u in want}]
     assert {tuple(r) for r in kept2.collect()} == greedy(accepted, again)
-    monkeypatch.setattr(history, "MEETINGS", 0)  # the same in slices
-    assert {tuple(r) for r in history.hold_batches(history.accept_all(o.drop("batch_no"), 0.7), n)[0].collect()} == want
-    none = history.hold_batches(history.accept_all(o.limit(0).drop("batch_no"), 0.7), n.limit(0))[0]
+    assert {f.split("history/")[1].split("/")[0] for f in history.History.load(other, path).pivots.inputFiles()} == {"pivots"}
+    none = history.hold_batches(history.accept_all(o.limit(0).drop("batch_no"), 0.7), n.limit(0))
     assert none.count() == 0
 
 
+def test_smallest_similar_goes_on_past_the_front(spark, units):
+    rows = cut_prints(spark, units)
+    reps, letters = rows
+    got = {tuple(r) for r in history.smallest_similar(reps, letters, reps, letters, 0.7, front=1).collect()}
+    have = [(r.rep, dict(units)[r.rep]) for r in reps.collect()]
+    assert got == {(a, min(b for b, y in have if similarity(x, y) >= 0.7)) for a, x in have}
+
+
+def cut_prints(spark, units):
+    prints = near_duplicates.fingerprints(spark.createDataFrame(units, "unit_no long, text string"), "unit_no", "text", keep_letters=True)
+    return near_duplicates.representatives(prints), prints.select("id", "letters")
+
+
 def test_leaks_match_substrings(spark):
     items = [(k, sentence(30)) for k in range(12)] + [(50, "short"), (51, None)]
     docs = [(k, sentence(10) + items[k % 12][1][k : k + 60 + 2 * k] + sentence(5)) for k in range(40)] + [(90, None), (91, ""), (92, items[0][1].upper().replace(" ", "\n")), (93, sentence(4000) + items[3][1])]
