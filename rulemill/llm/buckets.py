@@ -12,7 +12,9 @@ broadcast, so nothing that grows with the data is.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +26,9 @@ from rulemill.llm.shingles import mix
 #: Keys for one range; keys gathered in a task before they are sent.
 RANGE_KEYS, SEND = 1 << 21, 1 << 20
 #: Members of a key that are compared with all that come after them, within the range's task.
-CENTRES = 4
-#: Bits of a membership bitmap (8 MB) and of the blocks it is merged in.
-MEMBER_BITS, BLOCK_BITS = 1 << 26, 1 << 16
+CENTRES = 16
+#: Bits of a membership bitmap (8 MB) and of slices it is merged in.
+MEMBER_BITS, SLICES = 1 << 26, 8
 
 Keys = Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
@@ -126,54 +128,74 @@ def meetings(blobs: DataFrame, ranges: int, near: int) -> DataFrame:
 
 
 class Members:
-    """Which of the longs of a table may be there; two bits each in a bitmap of fixed size."""
+    """Which of the longs of a table may be there; two bits each in a bitmap of fixed size, packed while it is sent."""
 
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    def __init__(self, slices: list[bytes]):
+        self.slices = slices
+        self.bits = None
+
+    def __getstate__(self):
+        return self.slices
+
+    def __setstate__(self, slices):
+        self.__init__(slices)
 
     @staticmethod
-    def places(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def places(x: np.ndarray) -> np.ndarray:
         wide = mix(x.view(np.uint64))
-        return wide & np.uint64(MEMBER_BITS - 1), wide >> np.uint64(64 - MEMBER_BITS.bit_length() + 1)
+        return np.stack([wide & np.uint64(MEMBER_BITS - 1), wide >> np.uint64(64 - MEMBER_BITS.bit_length() + 1)])
 
     def may_have(self, x: np.ndarray) -> np.ndarray:
-        out = np.ones(len(x), bool)
-        for at in self.places(x):
-            out &= (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-        return out
+        if self.bits is None:
+            self.bits = np.frombuffer(b"".join(map(zlib.decompress, self.slices)), np.uint8)
+        at = self.places(x)
+        return (self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).all(axis=0)
 
 
 def members(rows: DataFrame, longs: Callable[[pa.RecordBatch], np.ndarray]) -> Members:
-    """The bitmap of what ``longs`` gives of each batch of ``rows``. Tasks merge their bits block by block; one bitmap reaches the driver."""
-    size = BLOCK_BITS // 8
+    """The bitmap of what ``longs`` gives of each batch of ``rows``. Tasks send sorted places, each slice is set by one task, and the slices reach the driver."""
+    width = MEMBER_BITS // SLICES
+
+    def send(waiting):
+        at = np.unique(np.concatenate(waiting).astype(np.uint32))
+        part, first = np.unique(at // width, return_index=True)
+        ends = np.append(first[1:], len(at))
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array([at[a:z].tobytes() for a, z in zip(first, ends)], pa.binary())], ["part", "places"])
 
     def mark(batches):
-        bits = np.zeros(MEMBER_BITS, bool)
-        some = False
+        waiting, size = [], 0
         for b in batches:
-            x = longs(b)
-            some = some or len(x) > 0
-            for at in Members.places(x):
-                bits[at.astype(np.int64)] = True
-        if some:
-            blocks = np.packbits(bits, bitorder="little").reshape(-1, size)
-            used = np.flatnonzero(blocks.any(axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([blocks[k].tobytes() for k in used], pa.binary())], ["block", "bits"])
+            waiting.append(Members.places(longs(b)).ravel())
+            size += len(waiting[-1])
+            if size >= SEND:
+                yield send(waiting)
+                waiting, size = [], 0
+        if size:
+            yield send(waiting)
 
     def merge(batches):
-        merged: dict[int, np.ndarray] = {}
+        bits, own = np.zeros(width, bool), None
         for b in batches:
-            for k, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                merged[k] = merged.get(k, 0) | np.frombuffer(bits, np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(merged), pa.int32()), pa.array([x.tobytes() for x in merged.values()], pa.binary())], ["block", "bits"])
-
-    shape = "block int, bits binary"
-    parts = min(MEMBER_BITS // BLOCK_BITS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    got = rows.mapInArrow(mark, shape).repartitionById(parts, F.col("block") % parts).mapInArrow(merge, shape).toArrow()  # the size of one bitmap
-    out = np.zeros((MEMBER_BITS // BLOCK_BITS, size), np.uint8)
-    for k, bits in zip(got.column("block").to_pylist(), got.column("bits").to_pylist()):
-        out[k] = np.frombuffer(bits, np.uint8)
-    return Members(out.reshape(-1))
+            for part, places in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                bits[np.frombuffer(places, np.uint32) - part * width], own = True, part
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.array([zlib.compress(np.packbits(bits, bitorder="little").tobytes(), 1)], pa.binary())], ["part", "places"])
+
+    shape = "part int, places binary"
+    got = rows.mapInArrow(mark, shape).repartitionById(SLICES, F.col("part")).mapInArrow(merge, shape).toArrow()  # one bitmap
+    none = zlib.compress(bytes(width // 8))
+    slices = dict(zip(got.column("part").to_pylist(), got.column("places").to_pylist()))
+    return Members([slices.get(k, none) for k in range(SLICES)])
+
+
+@contextmanager
+def shared(rows: DataFrame, longs: Callable[[pa.RecordBatch], np.ndarray]):
+    """The bitmap as a broadcast, which is removed at the end of the block."""
+    sent = rows.sparkSession.sparkContext.broadcast(members(rows, longs))
+    try:
+        yield sent
+    finally:
+        sent.destroy()
 
 
 def ids_of(batch: pa.RecordBatch) -> np.ndarray:

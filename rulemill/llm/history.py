@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rulemill.llm.buckets import ids_of, members
+from rulemill.llm.buckets import ids_of, shared
 from rulemill.llm.near_duplicates import CHUNKS, NEAR, PROFILE, PROFILE_TYPES, fingerprints, keys_of, letters_where, plausible, representatives, similar_edges, truly_similar
 from rulemill.llm.shingles import small_batches
 from rulemill.llm.uniform import uniform_text
@@ -116,24 +116,22 @@ def smallest_similar(batch: DataFrame, batch_texts: DataFrame, table: DataFrame,
     goes on to more of them only while its best partner could be beaten by one
     not visited yet. No pair within a hot group is formed beyond that.
     """
-    send = batch.sparkSession.sparkContext.broadcast
     t, found, open_ = threshold, None, batch
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
+    fits = F.expr(f"bit_count(x.mark ^ y.mark) <= {NEAR} AND least(x.n, y.n) >= {t - 1e-9} * greatest(x.n, y.n)")
     while True:
-        asked = send(members(spread(open_).select("rep", "sig"), lambda b: KEYS(b)[0].view(np.int64)))
-        rank = F.row_number().over(Window.partitionBy("key").orderBy("rep"))
-        ranked = cut(_keys_in(table, asked).withColumn("place", rank).where(F.col("place") <= front + 1))
-        there = send(members(ranked.select("key"), ids_of))
-        mine = _keys_in(spread(open_), there)
-        fits = F.expr(f"bit_count(x.mark ^ y.mark) <= {NEAR} AND least(x.n, y.n) >= {t - 1e-9} * greatest(x.n, y.n)")
-        met = mine.alias("x").join(ranked.alias("y"), "key").where(fits | (F.col("place") > front)).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), (F.col("place") > front).alias("beyond"))
-        met = cut(met.distinct())
+        with shared(spread(open_).select("rep", "sig"), lambda b: KEYS(b)[0].view(np.int64)) as asked:
+            ranked = cut(_keys_in(table, asked).withColumn("place", rank).where(F.col("place") <= front + 1))
+        with shared(ranked.select("key"), ids_of) as there:
+            met = _keys_in(spread(open_), there).alias("x").join(ranked.alias("y"), "key").where(fits | (F.col("place") > front))
+            met = cut(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), (F.col("place") > front).alias("beyond")).distinct())
         near = cut(plausible(met.where("NOT beyond").select("a", "b"), open_, table, t))
         left, right = (letters_where(x, near.select(c), "letters") for x, c in ((batch_texts, "a"), (table_texts, "b")))
         best = cut(truly_similar(near, left, right, t).groupBy("a").agg(F.min("b").alias("b")))
         found = best if found is None else found.union(best)
         unseen = met.where("beyond").groupBy("a").agg(F.min("b").alias("next")).join(best, "a", "left").where("b IS NULL OR next < b").select("a")
         open_ = cut(open_.join(unseen, open_.rep == unseen.a, "left_semi"))
-        discard(ranked, met, near)
+        discard(ranked, met, near, left, right)
         if not open_.head(1):
             return found.groupBy("a").agg(F.min("b").alias("b"))
         front *= MORE
@@ -201,7 +199,7 @@ def decide(rest: DataFrame, reps: DataFrame, letters: DataFrame, threshold: floa
     group of copies costs a row each and not a pair each.
     """
     there = cut(reps.join(rest.select("rep").distinct(), "rep", "left_semi"))
-    links = similar_edges(there, letters, threshold, "letters", every=True)
+    links, _ = similar_edges(there, letters, threshold, "letters", every=True)
     links = cut(links.union(links.select("b", "a")).distinct())
     near = links.union(rest.where("rep IS NOT NULL").select(F.col("rep").alias("a"), F.col("rep").alias("b")).distinct())
     busy = lambda c: rest.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).where("n > 1").select(c)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rulemill.llm.codepoints import decode, encode, form, letters, letters_array, row_bounds
-from rulemill.llm.buckets import CENTRES, RANGE_KEYS, ids_of, meetings, members, packed
+from rulemill.llm.buckets import CENTRES, RANGE_KEYS, ids_of, meetings, packed, shared
 from rulemill.llm.shingles import LEAST, SKETCH, WIDTH, distinct_runs, may_be_similar, mix, parity_sketch, similar, small_batches
 from rulemill.operators.components import connected_components
 from rulemill.session import cut, discard, spread
@@ -141,18 +141,18 @@ def keys_of(chunks: range):
 
 
 def letters_where(texts: DataFrame, ids: DataFrame, text: str = "text") -> DataFrame:
-    """(id, letters) of the rows of ``texts`` (id, text) whose id is in ``ids``, and a few more. Texts are filtered where they are read and not shuffled.
+    """A table (id, letters) of the rows of ``texts`` (id, text) whose id is in ``ids``, and a few more. Texts are filtered where they are read and not shuffled.
 
     With text 'letters' they are letters already.
     """
-    wanted = texts.sparkSession.sparkContext.broadcast(members(ids, ids_of))
+    with shared(ids, ids_of) as wanted:
 
-    def run(batches):
-        for b in small_batches(batches):
-            kept = b.filter(pa.array(wanted.value.may_have(b.column(0).to_numpy(zero_copy_only=False))))
-            yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1).cast(pa.string()) if text == "letters" else letters_array(kept.column(1)).cast(pa.string())], ["id", "letters"])
+        def run(batches):
+            for b in small_batches(batches):
+                kept = b.filter(pa.array(wanted.value.may_have(b.column(0).to_numpy(zero_copy_only=False))))
+                yield pa.RecordBatch.from_arrays([kept.column(0), kept.column(1).cast(pa.string()) if text == "letters" else letters_array(kept.column(1)).cast(pa.string())], ["id", "letters"])
 
-    return texts.select("id", text).mapInArrow(run, "id long, letters string")
+        return cut(texts.select("id", text).mapInArrow(run, "id long, letters string"))
 
 
 def plausible(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -171,7 +171,7 @@ def truly_similar(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold
 def verified_pairs(pairs: DataFrame, reps: DataFrame, texts: DataFrame, threshold: float, text: str = "text") -> DataFrame:
     """Of (a, b), repeated or not, those truly similar, once each. Pairs meet the sketches first; texts (id, text) are read for what is left."""
     near = cut(plausible(pairs.distinct(), reps, reps, threshold))
-    wanted = cut(letters_where(texts, near, text))
+    wanted = letters_where(texts, near, text)
     out = cut(truly_similar(near, wanted, wanted, threshold))
     discard(near, wanted)
     return out
@@ -189,26 +189,32 @@ def key_meetings(reps: DataFrame) -> DataFrame:
     return met
 
 
-def similar_edges(reps: DataFrame, texts: DataFrame, threshold: float, text: str = "text", every: bool = False) -> DataFrame:
-    """Verified links (a, b) among reps that join all that is similar; with ``every``, all similar pairs that share a key."""
+def similar_edges(reps: DataFrame, texts: DataFrame, threshold: float, text: str = "text", every: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Verified links (a, b) among reps that join all that is similar, and the components (node, component) they make.
+
+    With ``every`` the links are all similar pairs that share a key, and no components are made.
+    """
     met = key_meetings(reps)
     edges = verified_pairs(met.where("key IS NULL").select("a", "b"), reps, texts, threshold, text)
+    parts = None if every else connected_components(edges)
     rest = met.where("key IS NOT NULL").select("key", F.col("a").alias("rep"), F.col("b").alias("place"))
     first, width = CENTRES, CENTRES
     while True:
         if every:
             rest = rest.withColumn("part", F.col("rep"))
         else:
-            parts = connected_components(edges)
             rest = rest.drop("part").join(parts, rest.rep == parts.node, "left").select("key", "rep", "place", F.coalesce("component", "rep").alias("part"))
         # Keys with centres yet to come, and with more than one component among their members.
         open_ = rest.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.max("place").alias("z")).where((F.col("x") < F.col("y")) & (F.col("z") > first)).select("key")
         rest = cut(rest.join(open_, "key", "left_semi"))
         if not rest.head(1):
-            return edges
+            return edges, parts
         centres = rest.where(F.col("place").between(first, first + width - 1))
         new = rest.alias("x").join(centres.alias("c"), F.expr("x.key = c.key AND x.place > c.place AND x.part <> c.part")).select(F.least("x.rep", "c.rep").alias("a"), F.greatest("x.rep", "c.rep").alias("b"))
-        edges = edges.union(verified_pairs(new, reps, texts, threshold, text))
+        new = verified_pairs(new, reps, texts, threshold, text)
+        if new.head(1):
+            edges = edges.union(new)
+            parts = None if every else connected_components(edges)
         first, width = first + width, width * 2
 
 
@@ -226,6 +232,6 @@ def near_duplicate_groups(rows: DataFrame, row_id: str, text: str, threshold: fl
     copies = cut(base.select("id", "d0", "d1"))
     discard(base)
     texts = rows.where(F.col(row_id).isNotNull() & F.col(text).isNotNull()).select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text"))
-    parts = connected_components(similar_edges(reps, texts, threshold))
+    _, parts = similar_edges(reps, texts, threshold)
     grouped = reps.join(parts, reps.rep == parts.node, "left").where("component IS NOT NULL OR copies > 1").select("d0", "d1", F.coalesce("component", "rep").alias("group_no"))
     return copies.join(grouped, ["d0", "d1"]).select("group_no", F.col("id").alias("unit_no")).distinct()
