@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from rulemill.functions.looks import look_sql, plain_id_sql
-from rulemill.plans import governance_cases, reference
+from rulemill.plans import governance_cases, records, reference
 
 FLAGSHIP = "search_scored"
 QUERIES = {
     **reference.QUERIES,
+    **records.QUERIES,
     "p4_found": governance_cases.p4_found,
     "p5_found": governance_cases.p5_found,
 }
 ORACLES = {
     **reference.ORACLES,
+    **records.ORACLES,
     "p4_found": f"""
         WITH seen AS (
             SELECT snap_no, {plain_id_sql("rule_id")} AS rule_id, delivered_at, row_no, {look_sql("text")} AS t,

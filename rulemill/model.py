@@ -21,12 +21,6 @@ RELATION = T.StructType(
     [T.StructField(c, _s) for c in ("relation_id", "type", "source_rule", "target_rule", "condition", "resolution", "authority_basis", "registered_by", "status", "suspension_reason")]
     + [T.StructField("approval", T.StructType([T.StructField(c, _s) for c in ("reviewer", "timestamp", "notes")]))]
 )
-LINK = T.StructType([T.StructField("parent", _s), T.StructField("children", T.ArrayType(_s)), T.StructField("hierarchy_type", _s), T.StructField("domain", _s)])
-SECTION = T.StructType(
-    [T.StructField("doc_id", _s)]
-    + [T.StructField(c, T.IntegerType()) for c in ("article_seq", "para_seq", "item_seq", "level", "number")]
-    + [T.StructField(c, _s) for c in ("heading", "text", "location")]
-)
 RULE_FIELDS = ["rule_id", "text", "source_ref", "scope", "authority", "status"]
 RELATION_FIELDS = ["relation_id", "type", "source_rule", "target_rule", "condition", "resolution", "authority_basis", "status"]
 STATUSES = ["draft", "verified", "approved", "suspended", "superseded", "rejected"]

@@ -27,13 +27,6 @@ def cascade(orphans: DataFrame) -> DataFrame:
     return orphans.withColumns({"new_status": state, "suspension_reason": F.when(F.col("status") == "approved", F.col("reason")), "rejection_reason": F.when(F.col("status").isin("draft", "verified"), F.col("reason"))})
 
 
-def suspend_version(rules: DataFrame, document: str, old: str, new: str) -> DataFrame:
-    """Approved rules of the old version of a document, suspended with the reason."""
-    hit = (F.col("source_ref.document") == document) & (F.col("source_ref.version") == old) & (F.col("status") == "approved")
-    reason = F.when(hit, F.lit(f"원천 문서 버전 변경: {old} → {new}"))
-    return rules.withColumns({"status": F.when(hit, "suspended").otherwise(F.col("status")), "suspension_reason": reason})
-
-
 def migration_guide(relations: DataFrame, new_rules: DataFrame, document: str) -> DataFrame:
     """(relation_id, candidates, human_review): for each suspended relation of a document the new rules whose ids end alike, source before target."""
     prefix = f"{document}-"
@@ -46,6 +39,11 @@ def migration_guide(relations: DataFrame, new_rules: DataFrame, document: str) -
     return met.select("relation_id", F.array_join(found, ",").alias("candidates"), F.lit(True).alias("human_review"))
 
 
+def guide_lines(guide: DataFrame) -> DataFrame:
+    """(line): one line of a migration guide for each relation."""
+    return guide.select(F.concat_ws(" ", "relation_id", F.lit("->"), F.coalesce(F.nullif("candidates", F.lit("")), F.lit("no candidate")), F.when(F.col("human_review"), "(review)")).alias("line"))
+
+
 def changed_files(listing: DataFrame, manifest: DataFrame, force: bool = False) -> DataFrame:
     """Of (file_id, modified_at) the files that are new or modified since the manifest. Deletions are not reported."""
     if force:

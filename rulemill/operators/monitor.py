@@ -41,10 +41,28 @@ def scope_metrics(rules: DataFrame) -> DataFrame:
 
 
 def scope_warnings(metrics: DataFrame) -> DataFrame:
+    """One row: what is wrong with the figures of ``scope_metrics``."""
     bad = F.array_compact(F.array(F.when(F.col("avg_scope_chars") > SCOPE_LONG, "long items"), F.when(F.col("broad_scope_pct") > BROAD_SHARE, "broad items")))
     return metrics.select(bad.alias("warnings"))
 
 
+def scope_lists(rules: DataFrame) -> DataFrame:
+    """(kind, rule_id, item): rules with a single scope item, and items longer than SCOPE_LONG characters."""
+    items = rules.select("rule_id", F.size("scope").alias("n"), F.explode("scope").alias("item"))
+    kind = F.explode(F.array_compact(F.array(F.when(F.col("n") == 1, "single"), F.when(F.length("item") > SCOPE_LONG, "broad"))))
+    return items.select(kind.alias("kind"), "rule_id", "item")
+
+
+def waiting_too_long(report: DataFrame, row_id: str) -> DataFrame:
+    """The rows of a queue report above the age, one by one."""
+    return report.where(F.col("age_days") > AGE_MOST).select(row_id, "age_days")
+
+
+def queue_json(report: DataFrame) -> DataFrame:
+    """(line): each entry of a queue report as a JSON object, all keys present."""
+    return report.select(F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def groups_by_document(rules: DataFrame, pass_rates: DataFrame | None = None, least: float = 0.9) -> DataFrame:
     """(document, n, sample, accepted): verified rules by source document and how many to look at."""
     n = rules.where("status = 'verified'").groupBy(F.coalesce("source_ref.document", F.lit("_unknown")).alias("document")).agg(F.count("*").alias("n"))

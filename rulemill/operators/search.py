@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 # Fixed values of the score.
 SCOPE_WEIGHT, TEXT_WEIGHT, FUZZY_LEAST, FUZZY_SHARE, BONUS = 0.6, 0.4, 0.75, 0.8, 0.1
@@ -165,9 +164,46 @@ def hierarchy(links: DataFrame, order: str) -> DataFrame:
     return last.select("parent", F.posexplode("children").alias("pos", "child"))
 
 
-def siblings(edges: DataFrame) -> DataFrame:
-    """(child, sibling) under one parent."""
-    return edges.alias("x").join(edges.alias("y"), F.expr("x.parent = y.parent AND x.child <> y.child")).select(F.col("x.child").alias("child"), F.col("y.child").alias("sibling"))
+def siblings(edges: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """(child, sibling) under one parent, for the rule ids ``asked`` (rule_id) or, without, for all.
+
+    The result has as many rows as there are pairs under a parent; with a
+    parent of very many children ask for the rules that are wanted.
+    """
+    own = edges if asked is None else edges.join(asked.select(F.col("rule_id").alias("child")).distinct(), "child", "left_semi").select(*edges.columns)
+    return own.alias("x").join(edges.alias("y"), F.expr("x.parent = y.parent AND x.child <> y.child")).select(F.col("x.child").alias("child"), F.col("y.child").alias("sibling"))
+
+
+def full_context(asked: DataFrame, rules: DataFrame, links: DataFrame, relations: DataFrame, order: str, link_order: str, fields: list[str], relation_fields: list[str]) -> DataFrame:
+    """For each rule_id of ``asked``: rule (public fields or null), parent, hierarchy_type, children, siblings, relations.
+
+    links: (parent, children, hierarchy_type), of one parent the last counts,
+    and of several parents of a child the last link. Children and siblings keep
+    the link's order. Relations are the approved ones with the rule at either
+    end, with ``relation_fields`` only. Lists are made for the ids asked only;
+    a rule has one parent, so its siblings are its parent's list without it.
+    """
+    last = links.groupBy("parent").agg(F.max_by(F.struct("children", "hierarchy_type", F.col(link_order).alias("o")), link_order).alias("l")).select("parent", "l.*")
+    up = last.select("parent", "children", "hierarchy_type", "o", F.explode("children").alias("rule_id")).join(asked.select("rule_id"), "rule_id", "left_semi")
+    up = up.groupBy("rule_id").agg(F.max_by(F.struct("parent", "children", "hierarchy_type"), "o").alias("u"))
+    ids = asked.select("rule_id").distinct()
+    shown = first_by_id(rules, order).where(~F.col("status").isin(HIDDEN)).select("rule_id", F.struct("rule_id", *[f for f in fields if f != "rule_id"]).alias("rule"))
+    ends = relations.where("status = 'approved'").select(F.struct(*relation_fields).alias("r"), F.explode(F.array_distinct(F.array("source_rule", "target_rule"))).alias("rule_id"))
+    tied = ends.join(ids, "rule_id", "left_semi").groupBy("rule_id").agg(F.array_sort(F.collect_list("r")).alias("relations"))
+    down = last.select(F.col("parent").alias("rule_id"), F.col("children").alias("c"), F.col("hierarchy_type").alias("own_type"))
+    met = ids.join(shown, "rule_id", "left").join(up, "rule_id", "left").join(down, "rule_id", "left").join(tied, "rule_id", "left")
+    none = F.array().cast("array<string>")
+    return met.select(
+        "rule_id", "rule", F.col("u.parent").alias("parent"), F.coalesce("own_type", "u.hierarchy_type").alias("hierarchy_type"), F.coalesce("c", none).alias("children"),
+        F.coalesce(F.filter("u.children", lambda x: x != F.col("rule_id")), none).alias("siblings"), F.coalesce("relations", F.array().cast(tied.schema["relations"].dataType)).alias("relations"),
+    )
+
+
+def scope_share(rules: DataFrame, words: list[str], row_id: str) -> DataFrame:
+    """(row id, score): the share of keywords that stand in the joined scope; 0 without keywords."""
+    joined = F.array_join("scope", " ")
+    hits = sum((joined.contains(w).cast("int") for w in words), F.lit(0))
+    return rules.select(row_id, (hits / max(len(words), 1)).alias("score"))
 
 
 def context(rules: DataFrame, edges: DataFrame, relations: DataFrame, order: str) -> DataFrame:
@@ -189,9 +225,3 @@ def restore_parents(primary: DataFrame, edges: DataFrame, rules: DataFrame, orde
 
 def latest_status(rules: DataFrame, order: str) -> DataFrame:
     return rules.groupBy("rule_id").agg(F.max_by("status", order).alias("status"))
-
-
-def by_pair_first(relations: DataFrame, order: str) -> DataFrame:
-    """The first relation of each unordered pair, as a window."""
-    w = Window.partitionBy(F.least("source_rule", "target_rule"), F.greatest("source_rule", "target_rule")).orderBy(order)
-    return relations.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rulemill import model
 from rulemill.operators import checks, ingest, lifecycle, monitor, search
+from rulemill.operators.snapshots import snapshot_steps
 from rulemill.session import spread, table
 from rulemill.streaming.increments import events_by_window
 
@@ -93,9 +94,13 @@ def migration(s: SparkSession, d: str) -> DataFrame:
 
 
 def changed_since(s: SparkSession, d: str) -> DataFrame:
-    snaps = table(s, d, "rule_snapshots")
-    state = lambda k: snaps.where(F.col("snap_no") == k).groupBy(F.col("rule_id").alias("file_id")).agg(F.md5(F.max(F.coalesce("text", F.lit("")))).alias("modified_at"))
-    return lifecycle.changed_files(state(2), state(1))
+    """Every snapshot as a listing, the one before it as its manifest; a file is a rule of a snapshot."""
+    states = table(s, d, "rule_snapshots").groupBy("snap_no", "rule_id").agg(F.md5(F.max(F.coalesce("text", F.lit("")))).alias("modified_at"))
+    steps = F.broadcast(snapshot_steps(table(s, d, "rule_snapshots"), "snap_no"))  # one row a delivery
+    name = lambda n: F.concat_ws("/", F.col(n).cast("string"), F.coalesce("rule_id", F.lit("-")))
+    own = states.join(F.broadcast(steps.select(F.col("to").alias("snap_no"))), "snap_no", "left_semi").select(name("snap_no").alias("file_id"), "modified_at")
+    before = states.join(steps.withColumnRenamed("s", "snap_no"), "snap_no").select(name("to").alias("file_id"), "modified_at")
+    return lifecycle.changed_files(own, before)
 
 
 def drafts_inserted(s: SparkSession, d: str) -> DataFrame:
@@ -260,8 +265,9 @@ ORACLES = {
         SELECT rel_no, array_to_string(list_distinct(list_filter([a.id, b.id], lambda x: x IS NOT NULL)), ',') AS candidates, true AS human_review FROM relations
         LEFT JOIN n a ON starts_with(source_rule, 'tvx-edu-') AND a.x = substr(source_rule, 9) LEFT JOIN n b ON starts_with(target_rule, 'tvx-edu-') AND b.x = substr(target_rule, 9)
         WHERE status = 'suspended' AND (starts_with(source_rule, 'tvx-edu-') OR starts_with(target_rule, 'tvx-edu-'))""",
-    "changed_since": """WITH s AS (SELECT snap_no, rule_id AS file_id, md5(max(coalesce(text, ''))) AS modified_at FROM rule_snapshots GROUP BY 1, 2)
-        SELECT a.file_id, a.modified_at FROM (SELECT * FROM s WHERE snap_no = 2) a LEFT JOIN (SELECT * FROM s WHERE snap_no = 1) b USING (file_id) WHERE b.file_id IS NULL OR a.modified_at IS DISTINCT FROM b.modified_at""",
+    "changed_since": """WITH s AS (SELECT snap_no, coalesce(rule_id, '-') AS r, md5(max(coalesce(text, ''))) AS modified_at FROM rule_snapshots GROUP BY 1, rule_id), n AS (SELECT snap_no AS p, lead(snap_no) OVER (ORDER BY snap_no) AS snap_no FROM (SELECT DISTINCT snap_no FROM s)),
+        b AS (SELECT n.snap_no, r, modified_at AS m FROM s JOIN n ON s.snap_no = p WHERE n.snap_no IS NOT NULL)
+        SELECT s.snap_no || '/' || s.r AS file_id, modified_at FROM s LEFT JOIN b ON b.snap_no = s.snap_no AND b.r = s.r WHERE s.snap_no IN (SELECT snap_no FROM n) AND (b.r IS NULL OR m IS DISTINCT FROM modified_at)""",
     "drafts_inserted": "SELECT rule_id FROM rule_units WHERE rule_id IS NOT NULL UNION SELECT rule_id FROM draft_units WHERE rule_id IS NOT NULL",
     "rule_errors": f"WITH {RULES} SELECT unit_no, array_to_string({_RULE_ERRORS}, ',') AS errors FROM r WHERE len({_RULE_ERRORS}) > 0",
     "relation_errors": """WITH x AS (SELECT rel_no, list_filter([%s, CASE WHEN NOT regexp_matches(relation_id, '^rel-[a-z0-9][a-z0-9\\-]+$') THEN 'relation_id' END, CASE WHEN type NOT IN ('overrides', 'excepts', 'supersedes', 'unresolved') THEN 'type' END,

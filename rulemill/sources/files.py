@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rulemill.operators import lifecycle
+
 
 def yaml_loader() -> Callable[[str], object]:
     try:
@@ -114,3 +116,67 @@ def required(config: dict, keys: list[str]) -> dict:
     if missing := [k for k in keys if not config.get(k)]:
         raise ValueError("missing " + ", ".join(missing))
     return config
+
+
+def entries(config: dict, name: str, keys: list[str]) -> list[dict]:
+    """The list ``name`` of a batch or sync configuration; not there, no list, empty, or an entry without a key are errors."""
+    if not isinstance(config, dict) or name not in config:
+        raise ValueError(f"the configuration has no {name!r}")
+    if not isinstance(config[name], list) or not config[name]:
+        raise ValueError(f"{name!r} must be a list with entries")
+    for i, entry in enumerate(config[name]):
+        if not isinstance(entry, dict):
+            raise ValueError(f"entry {i} must be a mapping")
+        try:
+            required(entry, keys)
+        except ValueError as e:
+            raise ValueError(f"entry {i} ({entry.get('doc_id', '?')}): {e}") from e
+    return config[name]
+
+
+def ranked(records: DataFrame, items: str, by: str = "domain", name: str = "level") -> DataFrame:
+    """(domain, level, rank): a list of each record as rows, ranked from 0 in its order; records without one have none."""
+    return records.select(by, F.posexplode(items).alias("rank", name)).select(by, name, "rank")
+
+
+def sync_plan(found: DataFrame, manifest: DataFrame, registry: DataFrame, doc_id: str, export: str = "pdf", force: bool = False, dry_run: bool = False) -> DataFrame:
+    """(file_id, name, action, target, note, register) for each file of a listing (file_id, name, mime_type, modified_at).
+
+    action: 'download' for new and modified files, 'keep' for others, 'list'
+    throughout in a dry run. target is a safe local name with the ending of the
+    export format; note is the mark to keep with the source; register says
+    that the document is not in the registry yet.
+    """
+    if export not in ("pdf", "md"):
+        raise ValueError(f"{export} is no export format")
+    changed = lifecycle.changed_files(found, manifest.select("file_id", "modified_at"), force).select("file_id", F.lit(True).alias("_changed"))
+    base = safe_name(F.regexp_replace("name", r"\.[^.]+$", ""))
+    ending = F.when(F.col("mime_type") == "application/pdf", "pdf").otherwise(export)
+    there = registry.where(F.col("doc_id") == doc_id).agg(F.count("*").alias("_n"))  # one row
+    met = found.join(changed, "file_id", "left").crossJoin(there)
+    action = F.lit("list") if dry_run else F.when(F.col("_changed"), "download").otherwise("keep")
+    return met.select("file_id", "name", action.alias("action"), F.concat_ws(".", base, ending).alias("target"), F.concat(F.lit("file_id: "), "file_id").alias("note"), (F.col("_n") == 0).alias("register"))
+
+
+def download(plan: DataFrame, fetch: Callable[[str, str], bytes]) -> DataFrame:
+    """(file_id, target, content, error) of the files to download. ``fetch`` (file_id, target) runs on the executors; its errors stay with the file."""
+
+    def run(batches):
+        for b in batches:
+            got, why = [], []
+            for f, t in zip(b["file_id"], b["target"]):
+                try:
+                    got.append(fetch(f, t))
+                    why.append(None)
+                except Exception as e:  # noqa: BLE001 - one file's error stops no other
+                    got.append(None)
+                    why.append(str(e) or type(e).__name__)
+            yield pd.DataFrame({"file_id": b["file_id"], "target": b["target"], "content": got, "error": why})
+
+    return plan.where("action = 'download'").select("file_id", "target").mapInPandas(run, "file_id string, target string, content binary, error string")
+
+
+def save_manifest(manifest: DataFrame, downloaded: DataFrame, found: DataFrame, path: str) -> None:
+    """Writes (file_id, modified_at) with the states of what was downloaded without error. The manifest lies in a folder a run; the last run's is read."""
+    taken = found.join(downloaded.where("error IS NULL").select("file_id"), "file_id", "left_semi").select("file_id", "modified_at")
+    manifest.select("file_id", "modified_at").join(taken, "file_id", "left_anti").unionByName(taken).coalesce(1).write.parquet(path)
