@@ -30,6 +30,11 @@ LOOKALIKES = {
     "аеорсухѕіјүһԁԛԝ": "aeopcyxsijyhdqw",
     "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ": "ABEZHIKMNOPTYXCJ",
     "ορϲνϳ": "opcvj",
+    "һӏӀ": "hlI",
+    "ՕՏԼ": "OSL",
+    "օսոհ": "ounh",
+    "ᎪᏴᏟᎠᎬᎻᎫᏦᏞᎷᏢᎡᏚᎢᏙᎳᏃ": "ABCDEHJKLMPRSTVWZ",
+    "ɡıȷɑ": "gija",
 }
 # Signs that look like a common sign.
 SIGNS = {"‐‑﹣": "---", "‧⋅ㆍ・･∙": "·" * 6}
@@ -80,22 +85,29 @@ def plain_id(text: str) -> str:
     return look(text).strip().lower()
 
 
-def _mapped(function):
+#: Characters that are in written form and compose with nothing in this set: a text of these alone needs no rewriting.
+PLAIN = " -~\n가-힣一-鿿À-ÖØ-öø-ÿ①-⑮「」『』“”‘’·※→㎡"
+
+
+def _mapped(function, texts: Column) -> Column:
+    """``function`` of the texts that may need it; what is plain passes by in the JVM. Null stays null."""
+
     @F.pandas_udf("string")
-    def udf(texts: pd.Series) -> pd.Series:
-        return texts.map(function, na_action="ignore")
+    def udf(rows: pd.Series) -> pd.Series:
+        return rows.map(function, na_action="ignore")
 
-    return udf
+    plain = texts.rlike(rf"\A[{PLAIN}]*\z")
+    return F.when(plain, texts).otherwise(udf(F.when(~plain, texts)))
 
 
 def look_column(column: Column) -> Column:
     """``look`` of a string column; null stays null."""
-    return _mapped(look)(column)
+    return _mapped(look, column)
 
 
 def plain_id_column(column: Column) -> Column:
     """``plain_id`` of a string column; null stays null, blank gives ''."""
-    return _mapped(plain_id)(column)
+    return F.lower(F.regexp_replace(look_column(column), r"(?U)\A\s+|\s+\z", ""))
 
 
 def look_sql(text: str) -> str:

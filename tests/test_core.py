@@ -160,3 +160,15 @@ def test_cut_restores_the_setting_and_appends(spark, tmp_path):
     assert session.cut(spark.range(4), path).count() == 7 and spark.conf.get(session.CLEANUP) == before
     part = session.cut(spark.range(5))
     session.discard(part)
+
+
+def test_plain_characters_are_in_written_form(spark):
+    import re
+
+    from rulemill.functions import looks
+
+    plain = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and re.match(f"[{looks.PLAIN}]", chr(c))]
+    assert len(plain) > 30_000 and "".join(plain) == look("".join(plain))
+    rows = ["".join(plain[:300]), "가나", "ｆull", "e\u0301", " Ａ-1\u3000", "", None, "\r\n", "x\n"]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, t string").select("i", looks.look_column(F.col("t")).alias("a"), looks.plain_id_column(F.col("t")).alias("b")).orderBy("i").collect()
+    assert [r.a for r in got] == [None if r is None else look(r) for r in rows] and [r.b for r in got] == [None if r is None else plain_id(r) for r in rows]
