@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rulemill.llm.codepoints import letters_array, look_array
-from rulemill.session import spread
+from rulemill.session import cut, spread
 
 
 @F.arrow_udf(T.StringType())
@@ -47,8 +47,10 @@ def spelling_pairs(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     Pairs are formed between the distinct spellings of a form and only then
     expanded to rows: any number of rows spelled alike costs nothing, and no
     two rows meet that are not in the result. Null texts and ids are left out.
+    Forms are made once and written as digests.
     """
-    seen = rows.where(F.col(text).isNotNull() & F.col(row_id).isNotNull()).select(F.col(row_id).alias("id"), key(uniform_text(F.col(text))).alias("form"), key(F.col(text)).alias("raw"))
+    given = rows.where(F.col(text).isNotNull() & F.col(row_id).isNotNull())
+    seen = cut(given.select(F.col(row_id).alias("id"), key(uniform_text(F.col(text))).alias("form"), key(F.col(text)).alias("raw")))
     spellings = seen.select("form", "raw").distinct()
     several = spellings.groupBy("form").agg(F.count("*").alias("n")).where("n > 1").select("form")
     odd = spellings.join(several, "form", "left_semi")
