@@ -3,8 +3,10 @@
 Places are found on the text as it looks, with every character traced back to
 where it stands in the original. E-mail addresses, identity and telephone
 numbers and street addresses have forms of their own. Names are found in
-contexts that name a person; the parts of names seen there, over all documents,
-make a lexicon, with which names are found anywhere else.
+contexts that name a person, which are fixed; the parts of names seen there,
+over all documents, make a lexicon, with which names are found anywhere else.
+One pass gives the sure places and all that has the form of a name; the lexicon
+is a table that the latter are joined to.
 
 Each distinct entity gets one surrogate of its type, drawn by a keyed hash in
 the script, gender and format of the original: the same entity has the same
@@ -19,13 +21,12 @@ import hashlib
 import hmac
 import re
 import unicodedata
-from collections import Counter
-from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rulemill.functions.looks import glyphs
 from rulemill.session import cut, spread
@@ -86,10 +87,12 @@ KO_ADDRESS = re.compile(
     rf"|{ROAD} ?\d+(?:번길 ?\d+(?:-\d+)?|(?:-\d+)?, ?\d+(?:층|호))"
     rf"|{ROAD} \d+(?:-\d+)?(?=(?:에|에서|로|으로|\(으\)로|이며|이다|입니다)?(?:[ ,.|\r\n]|$)))"
 )
+#: A town and a postcode of the United States or the United Kingdom behind a street.
+TOWN = rf"(?:, ?(?:{CAPITAL}[a-z]+ ?){{1,2}}(?: ?\d{{5}}| ?[A-Z]{{1,2}}\d[A-Z\d]? \d[A-Z]{{2}})?)?"
 MAY_BE_KO_ADDRESS = re.compile(r"(?:로|길|동|리|가) ?\d")
 EN_ADDRESS = re.compile(
-    rf"(?:(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, ?)?(?<![\w$.,-])\d{{1,5}} (?:{CAPITAL}[\w'’-]+ ){{1,3}}(?:{'|'.join(STREETS)})\b\.?(?:, ?(?:{CAPITAL}[a-z]+ ?){{1,2}}(?: ?\d{{5}})?)?"
-    rf"|(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, ?\d{{1,5}} (?:{CAPITAL}[\w'’-]+ ){{1,3}}(?:{'|'.join(STREETS)})\b\.?(?:, ?(?:{CAPITAL}[a-z]+ ?){{1,2}}(?: ?\d{{5}})?)?"
+    rf"(?:(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, ?)?(?<![\w$.,-])\d{{1,5}}[A-Za-z]? (?:{CAPITAL}[\w'’-]+ ){{1,3}}(?:{'|'.join(STREETS)})\b(?:\.(?=,| [a-z]))?{TOWN}"
+    rf"|(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, ?\d{{1,5}}[A-Za-z]? (?:{CAPITAL}[\w'’-]+ ){{1,3}}(?:{'|'.join(STREETS)})\b(?:\.(?=,| [a-z]))?{TOWN}"
 )
 #: Contexts in which only a person can stand. Names found there are places, and teach the lexicon.
 #: What begins with the name is found from its end: signs that follow a name, which is looked for before them.
@@ -162,22 +165,6 @@ def fold(text: str) -> tuple[str, list[int] | range]:
     return folded, at
 
 
-@dataclass(frozen=True)
-class Lexicon:
-    """Parts of names: Korean family, first and second given syllable; other given and family names."""
-
-    ko_family: frozenset[str] = frozenset()
-    ko_first: frozenset[str] = frozenset()
-    ko_second: frozenset[str] = frozenset()
-    given: frozenset[str] = frozenset()
-    family: frozenset[str] = frozenset()
-
-
-def _ko_parts(name: str) -> tuple[str, str, str]:
-    packed = name.replace(" ", "")
-    return packed[:-2], packed[-2], packed[-1]
-
-
 def context_names(folded: str) -> list[tuple[int, int]]:
     """(start, end) of the names that stand in contexts of persons."""
     found = []
@@ -190,39 +177,42 @@ def context_names(folded: str) -> list[tuple[int, int]]:
     return [(a, z) for a, z in found if NO_NAMES.isdisjoint(re.split("[ ,]+", folded[a:z]))]
 
 
-def name_parts(folded: str) -> list[tuple[str, str]]:
-    """(part, token) of the names that stand in contexts of persons."""
-    out = []
-    for a, z in context_names(folded):
-        name = folded[a:z]
-        if "가" <= name[0] <= "힣":
-            out += zip(("ko_family", "ko_first", "ko_second"), _ko_parts(name))
-            continue
-        if ", " in name:
-            last, first = name.split(", ")
-        else:
-            first, last = name.split(" ", 1)
-        if not first.endswith("."):
-            out.append(("given", first))
-        out.append(("family", last))
-    return out
-
-
-@lru_cache(8)
-def name_patterns(lex: Lexicon) -> list[re.Pattern]:
-    either = lambda words: "(?:" + "|".join(sorted(map(re.escape, words), key=lambda w: (-len(w), w))) + ")"
-    out = []
-    if lex.ko_family and lex.ko_first and lex.ko_second:
-        one, two = (f"[{''.join(sorted(x))}]" for x in (lex.ko_first, lex.ko_second))
-        out.append(re.compile(rf"(?<![가-힣]){either(lex.ko_family)}(?: {one} {two}| ?{one}{two}){AFTER}"))
-    if lex.given and lex.family:
-        given, family = (either({*x, *(w.upper() for w in x)}) for x in (lex.given, lex.family))
-        out.append(re.compile(rf"(?<![\w'’.-])(?:{given} {family}|{family}, {given}|{CAPITAL}\. ?{family})(?![\w'’]|-\w)"))
-    return out
-
-
-def spans(folded: str, lex: Lexicon) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of all places, without overlap, in order."""
+WORD = re.compile(rf"(?<![\w'’.-])(?:{CAPITAL}\. ?)?({LONG})(?![\w'’]|-\w)")
+KO_FORM = re.compile(rf"(?<![가-힣])({KO})(?: ([가-힣]) ([가-힣])| ?([가-힣])([가-힣])){AFTER}")
+#: A part of names counts for names elsewhere if that many different names in contexts have it.
+LEAST = 2
+
+
+def parts_of(name: str) -> tuple[str, str, str]:
+    """(script, first, last) of a name as it looks: 'ko' with the two given syllables and the family name in front, else given and family name in lower case, an initial with its dot."""
+    if "가" <= name[0] <= "힣":
+        packed = name.replace(" ", "")
+        return "ko", packed[-2:], packed[:-2]
+    if ", " in name:
+        last, first = name.split(", ", 1)
+    elif m := re.match(rf"({CAPITAL}\.) ?(.+)", name):
+        first, last = m[1], m[2]
+    else:
+        first, last = name.split(" ", 1)
+    return "en", first.lower(), last.lower()
+
+
+def name_forms(folded: str) -> list[tuple[int, int]]:
+    """(start, end) of all that has the form of a name; some overlap."""
+    found = [m.span() for m in KO_FORM.finditer(folded)]
+    end_before, start_before = -1, -1
+    for m in WORD.finditer(folded):
+        start, word, end = m.start(), m.start(1), m.end()
+        if word > start:
+            found.append((start, end))
+        elif end_before > 0 and folded[end_before:start] in (" ", ", "):
+            found.append((start_before, end))
+        start_before, end_before = word, end
+    return found
+
+
+def spans(folded: str) -> list[tuple[int, int, str, bool]]:
+    """(start, end, kind, sure) in order. Sure places do not overlap, forms of names only each other."""
     found = [(*m.span(), "email") for m in EMAIL.finditer(folded) if not NO_HOST.search(m[0])] if MAY_BE_EMAIL.search(folded) else []
     for pattern, kind in (ID, "id_number"), (PHONE, "phone"):
         for m in pattern.finditer(folded):
@@ -235,41 +225,17 @@ def spans(folded: str, lex: Lexicon) -> list[tuple[int, int, str]]:
         found += [(*m.span(), "address") for m in KO_ADDRESS.finditer(folded)]
     found += [(*m.span(), "address") for m in EN_ADDRESS.finditer(folded)]
     found += [(a, z, "name") for a, z in context_names(folded)]
-    for pattern in name_patterns(lex):
-        found += [(*m.span(), "name") for m in pattern.finditer(folded)]
     rank = {"email": 0, "id_number": 1, "phone": 2, "address": 3, "name": 4}
-    kept: list[tuple[int, int, str]] = []
+    kept: list[tuple[int, int, str, bool]] = []
     taken = bytearray(len(folded))
     for a, z, kind in sorted(found, key=lambda s: (rank[s[2]], s[0], -s[1])):
         if not any(taken[a:z]):
             taken[a:z] = b"\1" * (z - a)
-            kept.append((a, z, kind))
+            kept.append((a, z, kind, True))
+    kept += [(a, z, "name", False) for a, z in name_forms(folded) if not any(taken[a:z])]
     return sorted(kept)
 
 
-def learn(texts: DataFrame, least: int = 2) -> Lexicon:
-    """The lexicon of all (doc_id, text): parts seen in contexts of persons.
-
-    A part counts if it is seen in at least ``least`` documents, however often
-    others are, so a group of copies raises no bar for them. Counted with a
-    map-side combine. What reaches the driver are the distinct parts of names,
-    which saturate; no text does.
-    """
-
-    def run(batches):
-        for b in batches:
-            counts = Counter(part for t in b.column(0).to_pylist() for part in set(name_parts(fold(t)[0])))
-            keys = list(counts)
-            columns = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["part", "token", "n"])
-
-    parts = texts.select("text").mapInArrow(run, "part string, token string, n long").groupBy("part", "token").agg(F.sum("n").alias("n"))
-    got: dict[str, set[str]] = {}
-    for r in parts.where(F.col("n") >= least).collect():
-        got.setdefault(r["part"], set()).add(r["token"])
-    return Lexicon(**{k: frozenset(v) for k, v in got.items()})
-
-
 def gender_before(text: str) -> str:
     title = re.search(r"(?:\b(Mr)|\b(Mrs|Ms|Miss|Madam))\.? $", text[-8:])
     return "" if not title else "m" if title[1] else "f"
@@ -279,27 +245,76 @@ def _texts(documents: DataFrame) -> DataFrame:
     return spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text"))
 
 
-def find_places(documents: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-    """p8: (doc_id, pii_kind, start_pos, end_pos, entity, gender) of each place in (doc_id, text); positions count code points from 1.
+PLACES = "doc_id long, pii_kind string, start_pos int, end_pos int, entity string, gender string"
 
-    entity is the place as it looks, gender that of a title before a name. Null ids and texts have no places.
-    """
-    texts = _texts(documents)
-    lex = lexicon or learn(texts)
+
+def read_places(texts: DataFrame) -> DataFrame:
+    """Sure places and forms of names of (doc_id, text), in one pass: PLACES, sure, script, first, last, chain. Forms that overlap have one chain."""
 
     def run(batches):
         for b in batches:
             rows = []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 folded, at = fold(text)
-                for a, z, kind in spans(folded, lex):
+                chain, reach = 0, 0
+                for a, z, kind, sure in spans(folded):
                     end = at[z] if z < len(at) else len(text)
-                    rows.append((doc, kind, at[a] + 1, end, folded[a:z], gender_before(folded[:a]) if kind == "name" else ""))
-            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string()]
-            columns = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "pii_kind", "start_pos", "end_pos", "entity", "gender"])
+                    chain += a >= reach
+                    reach = max(reach, z)
+                    name = kind == "name"
+                    rows.append((doc, kind, at[a] + 1, end, folded[a:z], gender_before(folded[:a]) if name else "", sure, *(parts_of(folded[a:z]) if name else (None, None, None)), chain))
+            kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32()]
+            names = ["doc_id", "pii_kind", "start_pos", "end_pos", "entity", "gender", "sure", "script", "first", "last", "chain"]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
 
-    return texts.mapInArrow(run, "doc_id long, pii_kind string, start_pos int, end_pos int, entity string, gender string")
+    return texts.mapInArrow(run, f"{PLACES}, sure boolean, script string, first string, last string, chain int")
+
+
+def lexicon(names: DataFrame, least: int = LEAST) -> DataFrame:
+    """(script, role, part) of the parts that ``least`` different names (script, first, last) have.
+
+    Counted over different names, so copies of a text weigh as one. Korean
+    parts are the family name and the first and the second given syllable, of
+    which there are no more than Unicode has syllables.
+    """
+    role = lambda r, c: F.struct(F.lit(r).alias("role"), c.alias("part"))
+    ko = F.array(role("last", F.col("last")), role("one", F.substring("first", 1, 1)), role("two", F.substring("first", 2, 1)))
+    en = F.array(role("last", F.col("last")), role("first", F.when(~F.endswith("first", F.lit(".")), F.col("first"))))
+    each = names.select("script", "first", "last").distinct().select("script", F.explode(F.when(F.col("script") == "ko", ko).otherwise(en)).alias("x"))
+    return each.select("script", "x.*").where("part IS NOT NULL").groupBy("script", "role", "part").agg(F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
+
+
+def find_places(documents: DataFrame, least: int = LEAST) -> DataFrame:
+    """p8: (doc_id, pii_kind, start_pos, end_pos, entity, gender) of each place in (doc_id, text); positions count code points from 1.
+
+    entity is the place as it looks, gender that of a title before a name. Null ids and texts have no places.
+
+    What has the form of a name and stands in no context of a person is one if
+    a context elsewhere names the same person, written out or by initial, or if
+    its parts are in the lexicon. Different forms are joined to the lexicon
+    first, so a form that is everywhere costs one row there.
+    """
+    found = cut(read_places(_texts(documents)))
+    sure = found.where("sure")
+    names = sure.where("pii_kind = 'name'").select("script", "first", "last").distinct()
+    parts = cut(lexicon(names, least))
+    part = lambda script, role, name: parts.where((F.col("script") == script) & (F.col("role") == role)).select(F.col("part").alias(name))
+    forms = found.where("NOT sure").select("script", "first", "last").distinct()
+    ko = forms.where("script = 'ko'").withColumns({"one": F.substring("first", 1, 1), "two": F.substring("first", 2, 1)})
+    for role in ("last", "one", "two"):
+        ko = ko.join(F.broadcast(part("ko", role, role)), role, "left_semi")  # syllables and family names: bounded by Unicode and FAMILY
+    en = forms.where("script = 'en'")
+    whole = en.where("first NOT LIKE '%.'").join(part("en", "first", "first"), "first", "left_semi").join(part("en", "last", "last"), "last", "left_semi")
+    short = en.where("first LIKE '%.'").join(part("en", "last", "last"), "last", "left_semi")
+    initials = names.where("script = 'en'").select("script", F.concat(F.substring("first", 1, 1), F.lit(".")).alias("first"), "last")
+    order = ["script", "first", "last"]
+    known = cut(ko.select(order).union(whole.select(order)).union(short.select(order)).union(forms.join(names.union(initials).distinct(), order, "left_semi").select(order)).distinct())
+    more = found.where("NOT sure").join(known, order, "left_semi")
+    # Of forms that overlap the first stands.
+    before = F.lag("end_pos").over(Window.partitionBy("doc_id", "chain").orderBy("start_pos", "end_pos"))
+    more = more.withColumn("_before", before).where("_before IS NULL OR _before < start_pos")
+    columns = [c.split()[0] for c in PLACES.split(", ")]
+    return sure.select(columns).union(more.select(columns))
 
 
 # Parts of surrogate names, by script and gender, and of surrogate addresses.
@@ -428,27 +443,44 @@ def surrogates(entities: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
     raise ValueError("surrogates keep colliding; give them a larger range")
 
 
+def by_rows(function):
+    """A column function that gives ``function`` of the values of its columns, Arrow batch by Arrow batch."""
+
+    @F.arrow_udf("string")
+    def one(a: pa.Array) -> pa.Array:
+        return pa.array([function(x) for x in a.to_pylist()], pa.string())
+
+    @F.arrow_udf("string")
+    def two(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([function(*x) for x in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.string())
+
+    @F.arrow_udf("string")
+    def four(a: pa.Array, b: pa.Array, c: pa.Array, d: pa.Array) -> pa.Array:
+        return pa.array([function(*x) for x in zip(*(y.to_pylist() for y in (a, b, c, d)), strict=True)], pa.string())
+
+    return lambda *columns: {1: one, 2: two, 4: four}[len(columns)](*columns)
+
+
 def redact(documents: DataFrame, key: bytes, places: DataFrame | None = None) -> DataFrame:
     """(doc_id, text) with each place replaced by [KIND:surrogate] and all other text kept. Null texts stay null.
 
     doc_id must be unique. An initial with a family name is an entity of its own.
     """
     places = cut(places if places is not None else find_places(documents))
-    canon = F.udf(canonical)
+    canon = by_rows(canonical)
     named = cut(places.where("start_pos <= end_pos").withColumn("canon", canon("pii_kind", "entity")))
     table = surrogates(named.groupBy("pii_kind", "canon").agg(F.max("gender").alias("gender")), key)
-    dress = F.udf(dressed)
+    dress = by_rows(dressed)
     fitted = named.join(table, ["pii_kind", "canon"]).select("doc_id", "start_pos", "end_pos", F.concat(F.lit("["), F.upper("pii_kind"), F.lit(":"), dress("pii_kind", "entity", "canon", "stand_in"), F.lit("]")).alias("put"))
     by_doc = fitted.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_pos", "end_pos", "put"))).alias("puts"))
 
-    @F.udf
-    def splice(text: str, puts) -> str:
+    def splice(text: str | None, puts: list[dict] | None) -> str | None:
         if text is None or not puts:
             return text
         out, at = [], 0
-        for a, z, put in puts:
-            out += [text[at : a - 1], put]
-            at = z
+        for p in puts:
+            out += [text[at : p["start_pos"] - 1], p["put"]]
+            at = p["end_pos"]
         return "".join([*out, text[at:]])
 
-    return documents.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", splice("text", "puts").alias("text"))
+    return documents.select("doc_id", "text").join(by_doc, "doc_id", "left").select("doc_id", by_rows(splice)("text", "puts").alias("text"))

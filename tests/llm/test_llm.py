@@ -238,7 +238,7 @@ def test_personal_information(spark):
     }
     out = {r.doc_id: r.text for r in personal.redact(df, b"k").collect()}
     assert out[51] is None and out[52] == "" and out[0] == out[3] and "안가담" not in out[0] and out[0].endswith("로 연락한다.") and "[PHONE:010-" in out[0]
-    assert personal.find_places(df.limit(0), personal.Lexicon()).count() == 0
+    assert personal.find_places(df.limit(0)).count() == 0
 
 
 def test_surrogates_stay_distinct(spark):

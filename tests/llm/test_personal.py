@@ -3,8 +3,8 @@ import pytest
 from rulemill.llm import personal
 
 
-def found(text, lexicon=None):
-    return {(k, text[a:z]) for a, z, k in personal.spans(text, lexicon or personal.Lexicon())}
+def found(text):
+    return {(k, text[a:z]) for a, z, k, sure in personal.spans(text) if sure}
 
 
 @pytest.mark.parametrize("number", ["X0092820", "M00875358", "AB1234567", "M123A4567", "QQ 12 34 56 C", "QQ123456C", "MORGA657054SM9IJ", "912-28-5893", "11-22-333333-44", "900101-1234567", "912345678"])
@@ -36,6 +36,20 @@ def test_copies_raise_no_bar_for_other_names(spark):
     got = personal.find_places(spark.createDataFrame(copies + others, "doc_id long, text string")).where("doc_id = 1002 AND pii_kind = 'name'")
     assert {r.entity for r in got.collect()} == {"Harte, Ivo", "Mara Quist"}
 
+
+def test_forms_of_names_need_the_lexicon(spark):
+    learn = ["According to Ivo Harte, yes.", "According to Ivo Quist, yes.", "According to Mara Quist, yes.", "According to Mara Harte, yes.", "담당자 김나별 원장에게 보냈다. 담당자 박나별 원장에게, 담당자 김가솜 원장에게, 담당자 박가별 원장에게 보냈다.", "The patient, Zebulon Quixley, left."]
+    text = "Medical Ivo Quist Hall met HARTE, MARA; Z. Quixley, M. Harte, A. Medical, Zebulon Quixley and Medical Devices. 박나별은 김고움과 제조사를 보았다."
+    docs = spark.createDataFrame([*enumerate(learn), (99, text)], "doc_id long, text string")
+    got = {r.entity for r in personal.find_places(docs).where("doc_id = 99").collect()}
+    assert got == {"Ivo Quist", "HARTE, MARA", "Z. Quixley", "M. Harte", "Zebulon Quixley", "박나별"}
+
+
+@pytest.mark.parametrize("address", ["221B Baker Street, London NW1 6XE", "Flat 3, 12 Mill Bend, Ambrook 95257", "7 Station Road"])
+def test_english_addresses(address):
+    assert found(f"Send it to {address}.") == {("address", address)}
+
+
 PLACES = [
     ("name", "O. Brask"), ("name", "J.Okrent"), ("name", "Okrent, Joren"), ("name", "Ilka BRASK"), ("name", "김 나 별"), ("email", "A.B@C.KR"),
     ("phone", "+82 10-1234-5678"), ("phone", "+82 (0)10-1234-5678"), ("phone", "+353 1 222 3333"), ("phone", "+44 20 7946 0958"), ("phone", "(617) 555-0118"), ("phone", "+12025550143"),
