@@ -38,7 +38,8 @@ TITLES = "팀장 부장 과장 차장 대리 사원 주임 책임 선임 수석
 # Kinds of street.
 STREETS = "Street St Road Rd Lane Ln Avenue Ave Drive Dr Court Ct Row Bend Place Pl Way Close Terrace Square Sq Hill Crescent Boulevard Blvd Gardens Grove Mews Parade Walk".split()
 
-KO = "(?:" + "|".join(FAMILY) + ")"
+KO = "(?:" + "|".join(n for n in FAMILY if len(n) > 1) + "|[" + "".join(n for n in FAMILY if len(n) == 1) + "])"
+KO_FIRST = "[" + "".join(sorted({n[0] for n in FAMILY})) + "]"
 KO_NAME = rf"(?<![가-힣])({KO}(?: [가-힣] [가-힣]| ?[가-힣][가-힣]))"
 TITLE = "(?:" + "|".join(sorted(TITLES, key=len, reverse=True)) + ")"
 LETTER = r"[^\W\d_]"
@@ -91,8 +92,8 @@ KO_ADDRESS = re.compile(
 TOWN = rf"(?:, ?(?:{CAPITAL}[a-z]+ ?){{1,2}}(?: ?\d{{5}}| ?[A-Z]{{1,2}}\d[A-Z\d]? \d[A-Z]{{2}})?)?"
 MAY_BE_KO_ADDRESS = re.compile(r"(?:로|길|동|리|가) ?\d")
 EN_ADDRESS = re.compile(
-    rf"(?:(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, ?)?(?<![\w$.,-])\d{{1,5}}[A-Za-z]? (?:{CAPITAL}[\w'’-]+ ){{1,3}}(?:{'|'.join(STREETS)})\b(?:\.(?=,| [a-z]))?{TOWN}"
-    rf"|(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, ?\d{{1,5}}[A-Za-z]? (?:{CAPITAL}[\w'’-]+ ){{1,3}}(?:{'|'.join(STREETS)})\b(?:\.(?=,| [a-z]))?{TOWN}"
+    rf"(?=[0-9FASU])(?:(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, ?)?(?<![\w$.,-])\d{{1,5}}[A-Za-z]? (?:{CAPITAL}[\w'’-]+ ){{1,3}}(?:{'|'.join(STREETS)})\b(?:\.(?=,| [a-z]))?{TOWN}"
+    rf"|(?=[FASU])(?:Flat|Apt\.?|Unit|Suite) \d+[A-Za-z]?, ?\d{{1,5}}[A-Za-z]? (?:{CAPITAL}[\w'’-]+ ){{1,3}}(?:{'|'.join(STREETS)})\b(?:\.(?=,| [a-z]))?{TOWN}"
 )
 #: Contexts in which only a person can stand. Names found there are places, and teach the lexicon.
 #: What begins with the name is found from its end: signs that follow a name, which is looked for before them.
@@ -178,7 +179,7 @@ def context_names(folded: str) -> list[tuple[int, int]]:
 
 
 WORD = re.compile(rf"(?<![\w'’.-])(?:{CAPITAL}\. ?)?({LONG})(?![\w'’]|-\w)")
-KO_FORM = re.compile(rf"(?<![가-힣])({KO})(?: ([가-힣]) ([가-힣])| ?([가-힣])([가-힣])){AFTER}")
+KO_FORM = re.compile(rf"(?={KO_FIRST})(?<![가-힣])({KO})(?: ([가-힣]) ([가-힣])| ?([가-힣])([가-힣])){AFTER}")
 #: A part of names counts for names elsewhere if that many different names in contexts have it.
 LEAST = 2
 
@@ -262,7 +263,7 @@ def read_places(texts: DataFrame) -> DataFrame:
                     chain += a >= reach
                     reach = max(reach, z)
                     name = kind == "name"
-                    rows.append((doc, kind, at[a] + 1, end, folded[a:z], gender_before(folded[:a]) if name else "", sure, *(parts_of(folded[a:z]) if name else (None, None, None)), chain))
+                    rows.append((doc, kind, at[a] + 1, end, folded[a:z], gender_before(folded[max(0, a - 8) : a]) if name else "", sure, *(parts_of(folded[a:z]) if name else (None, None, None)), chain))
             kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string(), pa.string(), pa.int32()]
             names = ["doc_id", "pii_kind", "start_pos", "end_pos", "entity", "gender", "sure", "script", "first", "last", "chain"]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
@@ -322,8 +323,8 @@ KO_GIVEN = {"m": "준호 민수 성훈 재석 동욱 상철 영호 태민 진우
 KO_SYLLABLES = "가강건경고광구규근기나남노다대덕도동라로마명모문미민박배백범병보복봉부빈사산상서석선설성세소수숙순승시신아안애양언여연영예오옥완용우운원월유윤은을의이익인일자장재전정제조종주준중지진차찬창채천철초춘충치태택평하학한해향허헌현형혜호홍화환효후훈휘흥희"
 EN_GIVEN = {"m": "James Robert Peter Thomas Henry Walter Oscar Martin".split(), "f": "Mary Susan Alice Helen Clara Ruth Nora Edith".split(), "": "Robin Alex Casey Jordan Morgan Riley Quinn Avery".split()}
 EN_FAMILY = "Smith Baker Carter Mason Fisher Turner Cooper Walker Porter Hunter Archer Fletcher Sawyer Chandler Potter Weaver".split()
-KO_STREETS = "중앙로 시청로 강변로 공원로 학교로 시장길 호수길 은행로".split()
-EN_STREETS = "Station Road|Church Lane|Park Avenue|Mill Street|Bridge Street|Garden Row".split("|")
+EN_STREETS = "Station Church Park Mill Bridge Garden Orchard Harbour Meadow Abbey Castle Forest".split()
+EN_TOWNS = "Ashford Brookfield Fairview Greenville Kingston Lakeside Milton Newport Oakdale Riverton".split()
 SPOKEN_DIGITS = str.maketrans("공영일이삼사오육륙칠팔구", "001234566789")
 PAST_POOL = 4  # attempts after which surrogate names get a part more
 
@@ -361,6 +362,25 @@ def canonical(kind: str, entity: str) -> str:
     return flat.lower()
 
 
+#: Of a Korean address the words that name a place, by their ending; of an English one house, street and town.
+KO_PLACE = re.compile(r"(?<![가-힣\d])[가-힣]+?(특별시|광역시|시|도|군|구|읍|면|로|길|동|리|가)(?![가-힣])")
+EN_PLACE = re.compile(rf"(.*?\d+[a-z]?) .+? ({'|'.join(STREETS).lower()})\b(\.?)(?:(, ?)([a-z ]+?)( ?(?:\d{{5}}|[a-z]{{1,2}}\d[a-z\d]? \d[a-z]{{2}}))?)?$")
+
+
+def address_like(canon: str, ko: bool, draw, attempt: int) -> str:
+    """An address of the same form: places, streets and towns are drawn, digits too; flats, floors, kinds of street and forms of postcode stay."""
+    if ko:
+        out = KO_PLACE.sub(lambda m: "".join(KO_SYLLABLES[draw(len(KO_SYLLABLES))] for _ in "12") + m[1], canon)
+    elif m := EN_PLACE.match(canon):
+        out = f"{m[1]} {EN_STREETS[draw(len(EN_STREETS))]} {m[2]}{m[3]}" + (f"{m[4]}{EN_TOWNS[draw(len(EN_TOWNS))]}{m[6] or ''}" if m[5] else "")
+    else:
+        out = canon
+    out = re.sub(r"\d+", lambda m: str(draw(9) + 1) + "".join(str(draw(10)) for _ in m[0][1:]), out.lower())
+    if attempt >= PAST_POOL:  # a longer house number
+        out = re.sub(r"\d+", lambda m: m[0] + str(draw(10)) * (attempt - PAST_POOL + 1), out, count=1)
+    return out
+
+
 def surrogate(kind: str, canon: str, gender: str, attempt: int, key: bytes) -> str:
     """The canonical form of a keyed stand-in of the same kind and script. Attempts give other ones."""
     seed = int.from_bytes(hmac.new(key, f"{kind}\n{canon}\n{attempt}".encode(), hashlib.sha512).digest(), "big")
@@ -381,8 +401,7 @@ def surrogate(kind: str, canon: str, gender: str, attempt: int, key: bytes) -> s
         return "".join(str(draw(10)) if c.isdecimal() else c for c in canon)
     ko = any("가" <= c <= "힣" for c in canon)
     if kind == "address":
-        number = f"{draw(900) + 1}-{draw(90) + 1}" if attempt < PAST_POOL else f"{draw(10**6)}-{draw(10**6)}"
-        return f"{KO_STREETS[draw(len(KO_STREETS))]} {number}" if ko else f"{number.replace('-', '')} {EN_STREETS[draw(len(EN_STREETS))]}".lower()
+        return address_like(canon, ko, draw, attempt)
     if ko:
         given = KO_GIVEN[gender][draw(10)] if attempt < 2 else "".join(KO_SYLLABLES[draw(len(KO_SYLLABLES))] for _ in range(2 + (attempt >= PAST_POOL)))
         return FAMILY[8 + draw(30)] + given
@@ -414,7 +433,9 @@ def dressed(kind: str, entity: str, canon: str, stand_in: str) -> str:
         first, last = (w.title() for w in stand_in.split(" ", 1))
         last = last.upper() if re.search(r"\b[^\W\d_a-zß-ÿ]{3,}", entity) else last
         return f"{last}, {first}" if "," in entity else f"{first} {last}"
-    return stand_in.title() if stand_in.isascii() else stand_in
+    if stand_in.isascii():
+        return re.sub(r"\b[A-Za-z]{1,2}\d[A-Za-z\d]? \d[A-Za-z]{2}\b", lambda m: m[0].upper(), re.sub(r"[a-z]+", lambda m: m[0].capitalize(), stand_in))
+    return stand_in
 
 
 def surrogates(entities: DataFrame, key: bytes, rounds: int = 20) -> DataFrame:
