@@ -100,7 +100,7 @@ def test_centre_rounds_lose_nothing(spark, units, monkeypatch):
     assert {tuple(r) for r in near_duplicates.near_duplicate_groups(df, "unit_no", "text").collect()} == groups(units[:60])
 
 
-def test_ranges_in_runs_meet_as_in_one(monkeypatch):
+def test_ranges_in_runs_meet_as_in_one(spark, monkeypatch):
     """A key that comes in several runs of a range meets the same members as one that comes at once."""
     import numpy as np
 
