@@ -1,6 +1,9 @@
 import datetime as dt
+import random
 from difflib import SequenceMatcher
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +107,54 @@ def test_duplicates_match_difflib(spark):
     assert {(r.id, r.o_id) for r in checks.duplicates(df, df, "id").collect()} == want
 
 
+def test_repeated_texts_are_compared_once(spark):
+    rows = [(i, f"r{i}", "x") for i in range(300)] + [(300, "r0", "x"), (301, "y", "")]
+    df = spark.createDataFrame(rows, "id long, rule_id string, text string")
+    texts = df.select(F.xxhash64("text").alias("label"), "text").distinct()
+    assert checks.duplicate_candidates(texts, texts).count() == 2
+    assert checks.duplicates(df, df, "id").count() == 301 * 301 - 301 - 2
+
+
+def test_bounds_of_duplicates_leave_none_out(spark, monkeypatch):
+    for name in ("TILE", "LATER", "LAST", "LOOK"):
+        monkeypatch.setattr(checks, name, 7)
+    rng = random.Random(5)
+    words = ["the", "organiser", "shall", "keep", "EUR", "within", "ward", "visits", "62", "경우에는", "위원회는", "적용하지", "아니한다"]
+    texts = ["", "x", "가"]
+    for n in (3, 9, 40, 90):
+        for words_of in (words[:9], words[9:], words):
+            base = " ".join(rng.choices(words_of, k=n))
+            for edits in (0, 0.02, 0.05, 0.1, 0.2):
+                t = list(base)
+                for _ in range(round(edits * len(t))):
+                    k = rng.randrange(len(t))
+                    t[k : k + 1] = rng.choice(["", t[k] + rng.choice("ab 가"), rng.choice("xyz나")])
+                texts.append("".join(t))
+    want = {(x, y) for x in texts for y in texts if SequenceMatcher(None, x, y).ratio() >= 0.9}
+    held = checks._held(pa.Table.from_batches(checks._profiles([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["label", "text"])])))
+    met = [(texts[held["label"][i]], texts[j]) for a, b in checks._near(held, texts, 0.9) for i, j in zip(a, b)]
+    assert want <= set(met) and len(met) < len(texts) ** 2 / 4
+
+
+def test_have_in_common():
+    def length(x, y):
+        row = [0] * (len(y) + 1)
+        for a in x:
+            row = [0, *row]
+            for k, b in enumerate(y, 1):
+                row[k] = row[k] + 1 if a == b else max(row[k - 1], row[k + 1])
+            row.pop()
+        return row[-1]
+
+    rng = np.random.default_rng(3)
+    x = [rng.integers(0, 4, n).astype(np.uint8) for n in (0, 1, 61, 62, 63, 200)]
+    y = [np.delete(np.insert(t, len(t) // 2, 9), slice(0, len(t) // 20)).astype(np.uint8) for t in x] + x
+    for i, t in enumerate(x):
+        for least in (0.5, 0.8, 0.9, 0.97):
+            want = [2 * length(t.tolist(), u.tolist()) >= least * (len(t) + len(u)) for u in y]
+            assert checks.have_in_common(x, y, np.full(len(y), i), least).tolist() == want
+
+
 def test_cascade_is_idempotent(spark):
     rel = spark.createDataFrame([("x", "a", "b", "approved"), ("y", "b", "a", "draft"), ("z", "b", "b", "approved")], "relation_id string, source_rule string, target_rule string, status string")
     out = lifecycle.cascade(lifecycle.orphan_relations(rel, spark.createDataFrame([("a", "suspended"), ("b", "approved")], "rule_id string, status string")))
